@@ -6,16 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advisium.llm import simhash
-from advisium.llm.common import documents
+from advisium.llm import decontam, quality_rules, simhash, token_files, token_scan, url_graph
+from advisium.llm.common import documents, scratch
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.count(documents(spark, sf_dir), scratch(spark, "op3"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "op6")
+    token_files.write(documents(spark, sf_dir), folder)
+    return token_files.read(spark, folder)
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op8_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(documents(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_token_scan": op3_token_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
+    "op7_decontam": op7_decontam,
+    "op8_url_graph": op8_url_graph,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.sql(), "op8_url_graph": url_graph.sql()}
