@@ -48,15 +48,24 @@ def remove(path: str) -> None:
         fs.delete_dir(p)
 
 
-def write_file(folder: str, name: str, data: bytes | list[bytes]) -> None:
-    """Puts a whole file in place at once, so that a task that is run again or twice does no harm."""
-    fs, p = filesystem(folder)
-    fs.create_dir(p, recursive=True)
-    part = f"{p}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        for x in [data] if isinstance(data, bytes) else data:
-            out.write(x)
-    fs.move(part, f"{p}/{name}")
+class AtomicFile:
+    """A file that appears under its name when it is whole, so a task that runs again or twice does no harm."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, top = filesystem(folder)
+        self.fs.create_dir(top, recursive=True)
+        self.part, self.path, self.at = f"{top}/.{name}.{uuid.uuid4().hex}", f"{top}/{name}", 0
+        self.out = self.fs.open_output_stream(self.part)
+
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Place and length of what is added."""
+        self.out.write(data)
+        self.at += len(data)
+        return self.at - len(data), len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.part, self.path)
 
 
 def read_range(path: str, start: int, length: int) -> bytes:
