@@ -1,22 +1,51 @@
-"""A corpus in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All stages but the last return the columns of documents. Each stage states its edge cases in the
+docstring of the operator that it calls.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advisium.llm import simhash
-from advisium.llm.common import documents, ready, scratch
+from advisium.llm import decontam, pii, quality_cnn, sentencepiece_ac, simhash
+from advisium.llm.common import documents, scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on this corpus' labels, rejects go."""
+    return quality_cnn.accepted(docs, quality_cnn.train(docs, documents(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    ready(spark)
     return simhash.deduplicate(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked."""
+    return pii.redact(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and the text that they give back."""
+    return sentencepiece_ac.encode(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", clean_of_benchmark),
+    ("pii", private_data),
+    ("sentencepiece", pieces),
+]
 
-#: SimHash, training and alignment are beyond SQL; tests hold the stages against brute force.
+#: Training, SimHash and alignment are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
