@@ -52,38 +52,52 @@ def table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     ids = np.flatnonzero(lengths)
     ids = ids[np.argsort(lengths[ids], kind="stable")]
     n = lengths[ids].astype(np.int64)
-    out = np.zeros(1 << limit, np.int64)
+    out = np.zeros(1 << limit, np.uint32)
     filled = np.repeat(ids * 32 + n, 1 << (limit - n))
     out[: len(filled)] = filled
     return out
 
 
-def pack(ids: np.ndarray, code: np.ndarray, lengths: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
-    """The bits of some ids, and the bit at which each run of every ids begins."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
+def aligned(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes with their first bit on top of 64."""
+    out = codes(lengths)
+    used = np.flatnonzero(lengths)
+    out[used] <<= (64 - lengths[used]).astype(np.uint64)
+    return out
+
+
+def pack(ids: np.ndarray, top: np.ndarray, lengths: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
+    """The bits of some ids, and the bit at which each run of every ids begins. top: aligned() codes."""
     if not len(ids):
         return b"", np.empty(0, np.uint32)
-    word, spare, c = starts >> 6, 64 - (starts & 63) - n, code[ids]
+    n = lengths[ids]
+    ends = np.cumsum(n, dtype=np.int64)
+    starts = ends - n
+    word, at = starts >> 6, (starts & 63).astype(np.uint8)
+    c = top[ids]
     out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
-    fits = np.where(spare >= 0, c << spare.clip(min=0).astype(np.uint64), c >> (-spare).clip(min=0).astype(np.uint64))
-    first = np.flatnonzero(np.r_[True, np.diff(word) > 0])
-    out[word[first]] = np.add.reduceat(fits, first)
-    over = np.flatnonzero(spare < 0)
-    out[word[over] + 1] += c[over] << (64 + spare[over]).astype(np.uint64)
+    first = np.flatnonzero(word[1:] != word[:-1]) + 1
+    first = np.concatenate([[0], first])
+    out[word[first]] = np.add.reduceat(c >> at, first)
+    over = np.flatnonzero(at + n > 64)
+    out[word[over] + 1] += c[over] << (64 - at[over]).astype(np.uint64)
     return out.astype(">u8").tobytes()[: int(ends[-1] + 7) >> 3], starts[::every].astype(np.uint32)
 
 
-def unpack(bits: bytes, starts: np.ndarray, n: int, every: int, lookup: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """The n ids of a block. All its runs are decoded side by side, an id of each at a time."""
+def unpack(bits: bytes, starts: np.ndarray, every: int, lookup: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """Ids of the runs that begin at some bits, a row each; a shorter run's row has a rest without meaning.
+
+    All runs are decoded side by side, an id of each at a time.
+    """
     b = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
-    at4 = b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
-    last = 8 * len(bits)
-    out = np.zeros((len(starts), every), np.int64)
-    pos, mask = starts.astype(np.int64), (1 << limit) - 1
-    for k in range(min(every, n)):
-        entry = lookup[(at4[pos >> 3].astype(np.int64) >> (32 - limit - (pos & 7))) & mask]
-        out[:, k] = entry >> 5
-        pos = np.minimum(pos + (entry & 31), last)
-    return out.reshape(-1)[:n]
+    at4 = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+    out = np.empty((every, len(starts)), np.uint32)
+    pos, last, drop = starts.astype(np.int64), 8 * len(bits), np.uint32(32 - limit)
+    for k in range(every):
+        window = at4[pos >> 3]
+        window <<= (pos & 7).astype(np.uint32)
+        window >>= drop
+        np.take(lookup, window, out=out[k])
+        pos += out[k] & 31
+        np.minimum(pos, last, out=pos)
+    return (out >> 5).T

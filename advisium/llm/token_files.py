@@ -10,103 +10,108 @@ to block. Files are named in ascending doc_id order.
 from __future__ import annotations
 
 import io
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisium.llm import huffman
-from advisium.llm.common import filesystem, listing, read_range, ready, remove, texts
+from advisium.llm.common import AtomicFile, filesystem, listing, read_range, ready, remove, texts
 from advisium.llm.tokens import encoder
 
-MAGIC, SUFFIX = b"ADVHUF01", ".huf"
+MAGIC, SUFFIX, SPOOL = b"ADVHUF01", ".huf", ".spool"
 BLOCK, EVERY = 1 << 18, 256
+#: Blocks that are decoded side by side.
+NEXT = 8
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _spool(docs: DataFrame, tokenizer: str, end: int, folder: str) -> DataFrame:
-    """Ids of each document with the end id, as little-endian 32-bit numbers, written once."""
+def _spool(docs: DataFrame, tokenizer: str, end: int, folder: str, size: int) -> np.ndarray:
+    """Writes ids in ascending doc_id order to spool files, one for each partition, and counts them.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        tail = np.array([end], enc.dtype).tobytes()
-        for part in parts:
-            ids = [x + tail for x in enc(texts(part))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
-
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, ids binary")
-    out.write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
-
-
-def _counts(spool: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
-    """How often each id occurs: at most one row for each id and task goes on."""
+    Texts are sorted, not ids, so that ids leave the worker once. At most one row for each id and
+    task goes to the sum, and one for each id of the vocabulary to the driver.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
+        enc, n, out = encoder(tokenizer), np.zeros(size, np.int64), None
+        tail, squeeze = np.array([end], enc.dtype).tobytes(), zstandard.ZstdCompressor(level=1)
         for part in parts:
-            for ids in part.column("ids"):
-                n += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            if not part.num_rows:
+                continue
+            out = out or AtomicFile(folder, f"part-{TaskContext.get().partitionId():08d}{SPOOL}")
+            ids = [x + tail for x in enc(texts(part))]
+            data = b"".join(ids)
+            n += np.bincount(np.frombuffer(data, enc.dtype), minlength=size)
+            doc_ids = part.column("doc_id")
+            table = np.array([np.asarray(doc_ids.is_valid()), np.asarray(doc_ids.fill_null(0)), [len(x) // enc.dtype.itemsize for x in ids]], np.int64)
+            frame = squeeze.compress(data)
+            out.add(np.array([part.num_rows, len(frame)], np.int64).tobytes() + table.tobytes() + frame)
+        if out:
+            out.close()
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
 
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text")
     out = np.zeros(size, np.int64)
-    for i, n in spool.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # one row an id of the vocabulary
+    for i, n in rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
 
+def _spooled(path: str, size: int, dtype: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of named, doc_id, number of ids; ids) of each frame of a spool file."""
+    fs, p = filesystem(path)
+    with fs.open_input_file(p) as f:
+        while f.tell() < size:
+            rows, length = np.frombuffer(f.read(16), np.int64).tolist()
+            table = np.frombuffer(f.read(24 * rows), np.int64).reshape(3, rows)
+            yield table, np.frombuffer(zstandard.decompress(f.read(length)), dtype)
+
+
 class Writer:
     """One file, written block by block and put in place when it is whole."""
 
     def __init__(self, folder: str, name: str, lengths: np.ndarray):
-        self.fs, top = filesystem(folder)
-        self.fs.create_dir(top, recursive=True)
-        self.part, self.path = f"{top}/.{name}.{uuid.uuid4().hex}", f"{top}/{name}"
-        self.out = self.fs.open_output_stream(self.part)
-        self.lengths, self.codes = lengths, huffman.codes(lengths)
-        self.at, self.held, self.n_held = len(MAGIC), [], 0
-        self.blocks, self.offsets, self.doc_ids, self.sizes = [], [], [], []
-        self.out.write(MAGIC)
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.sizes.append(len(ids))
-        self.held.append(ids)
-        self.n_held += len(ids)
-        if self.n_held >= BLOCK:
-            ids = np.concatenate(self.held)
-            whole = len(ids) // BLOCK * BLOCK
-            for k in range(0, whole, BLOCK):
-                self._block(ids[k : k + BLOCK])
-            self.held, self.n_held = [ids[whole:]], len(ids) - whole
+        self.file = AtomicFile(folder, name)
+        self.lengths, self.top = lengths, huffman.aligned(lengths)
+        self.held = np.empty(0, np.uint16)
+        self.blocks, self.offsets, self.tables = [], [], []
+        self.file.add(MAGIC)
+
+    def add(self, table: np.ndarray, ids: np.ndarray) -> None:
+        """table: rows of named, doc_id and number of ids, which are joined in ids."""
+        self.tables.append(table)
+        held = np.concatenate([self.held, ids]) if len(self.held) else ids
+        whole = len(held) // BLOCK * BLOCK
+        for k in range(0, whole, BLOCK):
+            self._block(held[k : k + BLOCK])
+        self.held = held[whole:]
 
     def _block(self, ids: np.ndarray) -> None:
-        bits, starts = huffman.pack(ids, self.codes, self.lengths, EVERY)
-        self.out.write(bits)
-        self.blocks.append((self.at, len(bits), len(ids)))
+        bits, starts = huffman.pack(ids, self.top, self.lengths, EVERY)
+        self.blocks.append((*self.file.add(bits), len(ids)))
         self.offsets.append(starts)
-        self.at += len(bits)
 
     def close(self) -> None:
-        if self.n_held:
-            self._block(np.concatenate(self.held))
+        if len(self.held):
+            self._block(self.held)
         buf = io.BytesIO()
-        np.savez(
-            buf, lengths=self.lengths, blocks=np.array(self.blocks, np.int64).reshape(-1, 3), offsets=np.concatenate([*self.offsets, np.empty(0, np.uint32)]),
-            named=np.array([x is not None for x in self.doc_ids], bool), doc_ids=np.array([x or 0 for x in self.doc_ids], np.int64), sizes=np.array(self.sizes, np.int64),
-        )
+        table = np.concatenate([np.empty((3, 0), np.int64), *self.tables], axis=1)
+        offsets = np.concatenate([np.empty(0, np.uint32), *self.offsets])
+        np.savez(buf, lengths=self.lengths, blocks=np.array(self.blocks, np.int64).reshape(-1, 3), offsets=offsets, documents=table)
         foot = zlib.compress(buf.getvalue(), 1)
-        self.out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
-        self.out.close()
-        self.fs.move(self.part, self.path)
+        self.file.add(foot + len(foot).to_bytes(8, "little") + MAGIC)
+        self.file.close()
 
 
 def footer(path: str, size: int) -> dict[str, np.ndarray]:
@@ -120,49 +125,55 @@ def footer(path: str, size: int) -> dict[str, np.ndarray]:
 
 
 def blocks(path: str, foot: dict[str, np.ndarray], first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
-    """Ids of the blocks first to last (exclusive) of a file; each is read and decoded on its own."""
+    """Ids of the blocks first to last (exclusive) of a file; NEXT blocks are read and decoded at a time."""
     lookup = huffman.table(foot["lengths"])
-    runs = -(-foot["blocks"][:, 2] // EVERY)
+    place, size, n = foot["blocks"].T
+    runs = -(-n // EVERY)
     at = np.concatenate([[0], np.cumsum(runs)])
-    for k in range(first, len(runs) if last is None else last):
-        place, size, n = foot["blocks"][k].tolist()
-        yield huffman.unpack(read_range(path, place, size), foot["offsets"][at[k] : at[k + 1]], n, EVERY, lookup)
+    last = len(n) if last is None else last
+    for k in range(first, last, NEXT):
+        some = slice(k, min(k + NEXT, last))
+        bits = read_range(path, int(place[k]), int(size[some].sum()))
+        starts = foot["offsets"][at[k] : at[some.stop]] + np.repeat(8 * (place[some] - place[k]), runs[some])
+        rows = huffman.unpack(bits, starts, EVERY, lookup)
+        # only the last run of a block may be short
+        yield np.concatenate([rows[at[b] - at[k] : at[b + 1] - at[k]].reshape(-1)[: n[b]] for b in range(k, some.stop)])
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
     """Writes the ids of all documents to files in a folder, in ascending doc_id order.
 
     Texts are whole; null is empty and has the end id only. Rows with a null doc_id come first;
-    rows that repeat a doc_id all stay, in the order of their ids' checksum. Other columns are not
-    read. An empty table gives no files.
+    rows that repeat a doc_id all stay, in the order of a hash of their texts. Other columns are
+    not read. An empty table gives no files.
     """
     spark = docs.sparkSession
     ready(spark)
     path = public_tokenizers.path(tokenizer)
     enc = encoder(path)
-    spool = _spool(docs, path, end, f"{folder}-spool")
-    lengths = huffman.code_lengths(_counts(spool, max(enc.tokenizer.get_vocab_size(), end + 1), enc.dtype))
+    dtype, spool = enc.dtype, f"{folder}-spool"
+    lengths = huffman.code_lengths(_spool(docs, path, end, spool, max(len(enc.begins), end + 1)))
+    found = listing(spool, SPOOL)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
         for part in parts:
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids"), strict=True):
-                writer = writer or Writer(folder, f"part-{TaskContext.get().partitionId():08d}{SUFFIX}", lengths)
-                writer.add(doc_id, np.frombuffer(ids.as_buffer(), enc_dtype))
-        if writer:
-            writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([len(writer.sizes)])], ["n"])
+            for i in part.column("id").to_pylist():
+                place, size = found[i]
+                writer = Writer(folder, place.rsplit("/", 1)[1].replace(SPOOL, SUFFIX), lengths)
+                for table, ids in _spooled(place, size, dtype):
+                    writer.add(table, ids)
+                writer.close()
+            yield part
 
-    enc_dtype = enc.dtype
-    in_order = spool.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids")
-    in_order.mapInArrow(run, "n long").agg(F.sum("n")).collect()
-    remove(f"{folder}-spool")
+    if found:
+        spark.range(0, len(found), 1, len(found)).mapInArrow(run, "id long").agg(F.count("*")).collect()
+    remove(spool)
 
 
 def _walk(path: str, foot: dict[str, np.ndarray], start: int) -> Iterator[tuple[int | None, int, int, int]]:
-    """(doc_id, start, n_tokens, ids_crc32) of a file's documents, a block at a time."""
+    """(doc_id, start, n_tokens, ids_crc32) of a file's documents, some blocks at a time."""
+    named, doc_ids, sizes = foot["documents"].tolist()
     k, left, crc = 0, 0, 0
-    named, doc_ids, sizes = foot["named"].tolist(), foot["doc_ids"].tolist(), foot["sizes"].tolist()
     for ids in blocks(path, foot):
         data, at = memoryview(ids.astype("<u4").tobytes()), 0
         while at < len(ids):
@@ -187,7 +198,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column("id").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(footer(*found[i])["sizes"].sum()) for i in ids], pa.int64())], ["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(footer(*found[i])["documents"][2].sum()) for i in ids], pa.int64())], ["id", "n"])
 
     sizes = dict(spark.range(0, len(found), 1, len(found)).mapInArrow(total, "id long, n long").collect())
     starts = np.concatenate([[0], np.cumsum([sizes[i] for i in range(len(found))])]).tolist()

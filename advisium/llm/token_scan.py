@@ -8,7 +8,6 @@ document that runs on into it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from advisium.llm.common import filesystem, listing, read_range, ready, texts
+from advisium.llm.common import AtomicFile, listing, read_range, ready, texts
 from advisium.llm.tokens import encoder
 
 SUFFIX, TOKENIZER, SEPARATOR = ".ids", "byte_bpe_50k.json", 50256
@@ -37,20 +36,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, separator: i
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, plain=True)
         end = np.array([separator], enc.dtype).tobytes()
-        fs, top = filesystem(folder)
-        fs.create_dir(top, recursive=True)
-        number, seq = TaskContext.get().partitionId(), 0
-        part_path = f"{top}/.part-{number:08d}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part_path) as out:
-            for part in parts:
-                out.write(end.join([*enc(texts(part)), b""]))
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id")], ["file", "seq", "doc_id"])
-                seq += n
-        if seq:
-            fs.move(part_path, f"{top}/part-{number:08d}{SUFFIX}")
-        else:
-            fs.delete_file(part_path)
+        number, seq, out = TaskContext.get().partitionId(), 0, None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            out = out or AtomicFile(folder, f"part-{number:08d}{SUFFIX}")
+            out.add(end.join([*enc(texts(part)), b""]))
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id")], ["file", "seq", "doc_id"])
+            seq += n
+        if out:
+            out.close()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file long, seq long, doc_id long").checkpoint()
 

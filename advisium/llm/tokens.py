@@ -9,48 +9,103 @@ import numpy as np
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: A space before white space or the end: there a word does not begin at the space.
-_ODD = re.compile(r" (?:\s|$)")
-#: Words a worker keeps; a full cache starts anew.
-CACHE = 300_000
+#: A word that may stand on its own: no other white space at either end, after its line break if it has one.
+_SAFE = re.compile(r"\n?\S(?:.*\S)?", re.S)
+#: Marks that are a piece of their own after a letter.
+_MARKS = ",.;:!?"
+#: Words that each of a worker's two caches keeps; the older is dropped when the newer is full.
+CACHE = 800_000
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 class WordEncoder:
     """Byte-level BPE of whole texts.
 
-    The pre-tokenizer's pieces never reach over a space that a non-space follows, so a text's ids
-    are those of its words, each with the space before it. Texts with other runs of white space, or
-    with the string of a special token, are encoded in one go.
+    The pre-tokenizer's pieces never reach over a space or line break that stands between other
+    characters, so a text's ids are those of its words, each with the space or break before it. New
+    words of a batch are encoded as one text; a word's ids begin where a token begins with a space
+    or break. Texts with other runs of white space, or with the string of a special token, are
+    encoded in one go.
     """
 
     def __init__(self, path: str, plain: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token[0] in "\u0120\u010a"]] = True  # a space, a line break
         special = [] if plain else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _raw(self, found: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
+    def _learn(self, new: dict[str, None]) -> None:
+        """Puts words in the cache; a word that ends in a mark is its letters and the mark."""
+        if len(self.words) > CACHE:
+            self.words, self.older = {}, self.words
+        words, older, marks = self.words, self.older, self.marks
+        fresh, marked = {}, []
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                words[w] = ids
+            elif w[-1:] in marks and w[:-1].isalpha():
+                core = w[:-1]
+                marked.append((w, core))
+                if core not in words:
+                    if (ids := older.get(core)) is not None:
+                        words[core] = ids
+                    else:
+                        fresh[core] = None
+            elif _SAFE.fullmatch(w):
+                fresh[w] = None
+        if fresh:
+            text = "".join(w if w[0] == "\n" else " " + w for w in fresh)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            data, size = ids.tobytes(), self.dtype.itemsize
+            at = (np.flatnonzero(self.begins[ids]) * size).tolist()
+            if len(at) != len(fresh):
+                raise ValueError("words and the places where they begin differ")
+            words.update(zip(fresh, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+        for w, core in marked:
+            words[w] = words[core] + marks[w[-1]]
+
     def __call__(self, found: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of self.dtype."""
-        if len(self.words) > CACHE:
-            self.words.clear()
         out: list[bytes | None] = [None] * len(found)
-        whole, split = [], []
+        whole, split, late, new = [], [], [], {}
+        get = self.words.get
         for i, text in enumerate(found):
-            if _ODD.search(text) or self.special and self.special.search(text):
+            head, *ws = text.replace("\n", " \n").split(" ")
+            if ws and not _SAFE.fullmatch(head) or self.special and self.special.search(text):
                 whole.append(i)
-            else:
-                split.append((i, text.split(" ")))
-        new = list(set().union(*(ws[1:] for _, ws in split)) - self.words.keys())
-        self.words.update(zip(new, self._raw([" " + w for w in new]), strict=True))
-        heads = self._raw([ws[0] for _, ws in split])
-        for (i, ws), head in zip(split, heads, strict=True):
-            out[i] = head + b"".join(map(self.words.__getitem__, ws[1:]))
+                continue
+            parts = list(map(get, ws))
+            k, holes = -1, []
+            for _ in range(parts.count(None)):
+                k = parts.index(None, k + 1)
+                holes.append(k)
+                new[ws[k]] = None
+            split.append((i, head, parts))
+            if holes:
+                late.append((i, parts, holes, ws))
+        if new:
+            self._learn(new)
+            words, odd = self.words, set()
+            for i, parts, holes, ws in late:
+                for k in holes:
+                    parts[k] = words.get(ws[k])
+                if None in parts:
+                    odd.add(i)
+            if odd:
+                whole += odd
+                split = [x for x in split if x[0] not in odd]
+        for (i, _, parts), head in zip(split, self._raw([head for _, head, _ in split]), strict=True):
+            out[i] = head + b"".join(parts)
         for i, ids in zip(whole, self._raw([found[i] for i in whole]), strict=True):
             out[i] = ids
         return out
