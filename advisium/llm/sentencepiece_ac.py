@@ -1,17 +1,17 @@
 """SentencePiece encoding by an Aho-Corasick automaton that drives a single-pass Viterbi.
 
-The automaton holds all pieces of a model. A text is read once; at each character the state's
-output links list the pieces that end there, and each relaxes the best score of its end. Of equal
-scores the longer last piece wins. Characters that no piece covers become byte pieces, at a score
-under all others. Pieces hold the space mark only in front, so the best path of a text is that of
-its words, each with the spaces before it; a worker keeps the paths of words it has seen.
+The automaton holds the UTF-8 bytes of all pieces of a model. A text is read once; at each byte the
+state's output links list the pieces that end there, and each relaxes the best score of its end. Of
+equal scores the longer last piece wins. Characters that no piece covers become byte pieces, at a
+score under all others. New words of a batch of texts go through the automaton side by side, a byte
+of each at a time. Pieces hold the space mark only in front, and no line break, so the best path of
+a text is that of its words, each with the space or break before it; a worker keeps the paths of
+words it has seen.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,68 +24,105 @@ from sentencepiece import SentencePieceProcessor
 from advisium.llm.common import ready, texts
 
 MODEL, SPACE = "piece_bpe_32k.model", "▁"
-#: Words a worker keeps; a full cache starts anew.
-CACHE = 300_000
+#: Words that each of a worker's two caches keeps; the older is dropped when the newer is full.
+CACHE = 600_000
 #: How far a character without a piece is under the worst piece, as in the public library.
 UNKNOWN = 10.0
-_CHUNK = re.compile(" *[^ ]+| +")
+#: Bytes of words that go through the automaton side by side, padding included.
+CELLS = 1 << 19
 _MODELS: dict[str, Pieces] = {}
 
 
 class Automaton:
-    """Aho-Corasick over the pieces; state 0 is the root."""
+    """Aho-Corasick over the bytes of pieces; state 0 is the root."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
-        self.go: list[dict[str, int]] = [{}]
-        self.own: list[tuple[int, float, int] | None] = [None]
+        tree: list[dict[int, int]] = [{}]
+        ends: dict[int, tuple[int, float, int]] = {}
+        levels: list[list[tuple[int, int, int]]] = []
         for piece, (i, score) in pieces.items():
             at = 0
-            for c in piece:
-                nxt = self.go[at].get(c)
+            data = piece.encode()
+            for depth, b in enumerate(data):
+                nxt = tree[at].get(b)
                 if nxt is None:
-                    nxt = self.go[at][c] = len(self.go)
-                    self.go.append({})
-                    self.own.append(None)
+                    nxt = tree[at][b] = len(tree)
+                    tree.append({})
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((at, b, nxt))
                 at = nxt
-            self.own[at] = (len(piece), score, i)
-        self.fail = [0] * len(self.go)
-        #: The nearest state on the fail path, itself first, at which a piece ends; 0 is none.
-        self.out = [0] * len(self.go)
-        todo = deque([0])
-        while todo:
-            at = todo.popleft()
-            self.out[at] = at if self.own[at] else self.out[self.fail[at]]
-            for c, nxt in self.go[at].items():
-                back = self.fail[at]
-                while at and back and c not in self.go[back]:
-                    back = self.fail[back]
-                self.fail[nxt] = self.go[back].get(c, 0) if at else 0
-                todo.append(nxt)
-
-    def best(self, text: str, unknown: float) -> list[tuple[int, int]]:
-        """The best path as (end, piece id); -1 is a character without a piece."""
-        go, fail, out, own = self.go, self.fail, self.out, self.own
-        score, last, state = [0.0], [(0, 0)], 0
-        for end, c in enumerate(text, 1):
-            while c not in go[state] and state:
-                state = fail[state]
-            state = go[state].get(c, 0)
-            top, came = score[end - 1] + unknown, (1, -1)
-            at = out[state]
-            while at:
-                size, value, piece = own[at]
-                value += score[end - size]
-                if value > top:
-                    top, came = value, (size, piece)
-                at = out[fail[at]]
-            score.append(top)
-            last.append(came)
-        path, end = [], len(text)
-        while end:
-            size, piece = last[end]
-            path.append((end, piece))
-            end -= size
-        return path[::-1]
+            ends[at] = (len(data), score, i)
+        n = len(tree)
+        self.go = np.zeros((n, 256), np.int32)
+        self.size, self.score, self.piece = np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int64)
+        for at, (size, score, i) in ends.items():
+            self.size[at], self.score[at], self.piece[at] = size, score, i
+        fail = np.zeros(n, np.int64)
+        #: The nearest state on the fail path, itself first, at which a piece ends, and the next one; 0 is none.
+        self.out, self.next = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        _, b, node = np.array(levels[0]).T
+        self.go[0, b] = node
+        for depth, level in enumerate(levels):
+            parent, b, node = np.array(level).T
+            if depth:
+                fail[node] = self.go[fail[parent], b]
+            self.go[node] = self.go[fail[node]]
+            self.next[node] = self.out[fail[node]]
+            self.out[node] = np.where(self.piece[node] >= 0, node, self.next[node])
+            if depth + 1 < len(levels):  # a state's children take the place of what its fail state would do
+                up, c, down = np.array(levels[depth + 1]).T
+                self.go[up, c] = down
+
+    def best(self, words: np.ndarray, sizes: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each word and each of its ends the size and id of the best last piece; -1 is a character without one.
+
+        words: bytes, a row each, padded with zeros.
+        """
+        n, longest = words.shape
+        rows = np.arange(n)
+        score = np.full((n, longest + 1), -np.inf)
+        score[:, 0] = 0
+        last, piece = np.zeros((n, longest + 1), np.int64), np.full((n, longest + 1), -1, np.int64)
+        begins = (words & 0xC0) != 0x80
+        start, state = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for end in range(1, longest + 1):
+            start = np.where(begins[:, end - 1], end - 1, start)
+            state = self.go[state, words[:, end - 1]]
+            whole = begins[:, end] | (sizes == end) if end < longest else np.ones(n, bool)
+            top = np.where(whole, score[rows, start] + unknown, -np.inf)
+            took, which = end - start, np.full(n, -1, np.int64)
+            at = self.out[state]
+            some = np.flatnonzero(at)
+            at = at[some]
+            while len(some):
+                size = self.size[at]
+                value = score[some, end - size] + self.score[at]
+                better = value > top[some]
+                won = some[better]
+                top[won], took[won], which[won] = value[better], size[better], self.piece[at[better]]
+                at = self.next[at]
+                more = at > 0
+                some, at = some[more], at[more]
+            score[:, end], last[:, end], piece[:, end] = top, took, which
+        return last, piece
+
+    def paths(self, words: list[bytes], unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best paths of words of about one length: pieces and their sizes in bytes, joined, and where each word's begin."""
+        sizes = np.array([len(w) for w in words])
+        longest = int(sizes.max())
+        table = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(-1, longest)
+        last, piece = self.best(table, sizes, unknown)
+        ids, took = [], []
+        at, rows = sizes.copy(), np.arange(len(words))
+        while at.any():
+            size = np.where(at > 0, last[rows, at], 0)
+            ids.append(np.where(at > 0, piece[rows, at], -2))
+            took.append(size)
+            at = at - size
+        ids, took = np.array(ids[::-1]).T, np.array(took[::-1]).T
+        real = ids != -2
+        return ids[real], took[real], np.concatenate([[0], np.cumsum(real.sum(axis=1))])
 
 
 class Pieces:
@@ -95,50 +132,114 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.unk = model.unk_id()
-        self.bytes_at = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes_at = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         plain = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         self.fallback = self.unk not in self.bytes_at
         self.automaton = Automaton(plain)
         self.unknown = min(score for _, score in plain.values()) - UNKNOWN
-        self.parted = not any(SPACE in p.lstrip(SPACE) for p in plain)
-        self.data = [b""] * n
+        #: Whether words can be encoded on their own.
+        self.parted = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain)
+        data = [b""] * n
         for piece, (i, _) in plain.items():
-            self.data[i] = piece.replace(SPACE, " ").encode()
-        for b, i in enumerate(self.bytes_at):
-            if i != self.unk:
-                self.data[i] = bytes([b])
-        self.data[self.unk] = " ⁇ ".encode()
+            data[i] = piece.replace(SPACE, " ").encode()
+        if self.fallback:
+            for b, i in enumerate(self.bytes_at):
+                data[i] = bytes([b])
+        data[self.unk] = " ⁇ ".encode()
+        self.data = np.frombuffer(b"".join(data), np.uint8)
+        self.long = np.array([len(x) for x in data])
+        self.at = np.cumsum(self.long) - self.long
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def path(self, marked: str) -> list[int]:
-        """Ids of a text whose spaces are marks."""
-        out, start = [], 0
-        for end, piece in self.automaton.best(marked, self.unknown):
-            if piece >= 0:
-                out.append(piece)
-            elif self.fallback:
-                out.extend(self.bytes_at[b] for b in marked[start:end].encode())
-            else:
-                out.append(self.unk)
-            start = end
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of texts whose spaces are to become marks, each by itself."""
+        data = [w.replace(" ", SPACE).encode() for w in words]
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        out = [b""] * len(data)
+        k = 0
+        while k < len(order) and not data[order[k]]:
+            k += 1
+        while k < len(order):
+            end = k + 1
+            while end < len(order) and (end - k + 1) * len(data[order[end]]) <= CELLS:
+                end += 1
+            ids, took, starts = self.automaton.paths([data[i] for i in order[k:end]], self.unknown)
+            odd = np.flatnonzero(ids < 0)
+            if len(odd):
+                ids, starts = self._fallback(ids, took, starts, b"".join(data[i] for i in order[k:end]))
+            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            places = (starts * width).tolist()
+            for i, a, b in zip(order[k:end], places, places[1:], strict=False):
+                out[i] = packed[a:b]
+            k = end
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian numbers; a space is put before a text that is not empty."""
-        if not text:
-            return b""
-        chunks = _CHUNK.findall(" " + text) if self.parted and SPACE not in text else [" " + text]
+    def _fallback(self, ids: np.ndarray, took: np.ndarray, starts: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with byte pieces, or the unknown piece, for characters without a piece."""
+        odd = ids < 0
+        wide = np.where(odd & self.fallback, took, 1)
+        out = np.repeat(ids, wide)
+        if self.fallback:
+            covered = np.repeat(odd, took)
+            out[np.repeat(odd, wide)] = self.bytes_at[np.frombuffer(data, np.uint8)[covered]]
+        else:
+            out[np.repeat(odd, wide)] = self.unk
+        return out, np.concatenate([[0], np.cumsum(wide)])[starts]
+
+    def _learn(self, new: dict[str, None]) -> None:
+        if len(self.words) > CACHE:
+            self.words, self.older = {}, self.words
+        fresh = []
+        for w in new:
+            ids = self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.words[w] = ids
+        self.words.update(zip(fresh, self.encode_words([w if w[0] == "\n" else " " + w for w in fresh]), strict=True))
+
+    def encode(self, found: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian numbers; a space is put before a text that is not empty."""
+        out: list[bytes] = [b""] * len(found)
+        late, whole, new = [], [], {}
+        get = self.words.get
+        for i, text in enumerate(found):
+            ws = text.replace("\n", " \n").split(" ")
+            if "" in ws or not self.parted or SPACE in text:  # empty texts, and spaces beside spaces
+                if text:
+                    whole.append(i)
+                continue
+            parts = list(map(get, ws))
+            k, holes = -1, []
+            for _ in range(parts.count(None)):
+                k = parts.index(None, k + 1)
+                holes.append(k)
+                new[ws[k]] = None
+            if holes:
+                late.append((i, parts, holes, ws))
+            else:
+                out[i] = b"".join(parts)
+        if new:
+            self._learn(new)
         words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        for w in set(chunks) - words.keys():
-            words[w] = np.array(self.path(w.replace(" ", SPACE)), self.dtype).tobytes()
-        return b"".join(map(words.__getitem__, chunks))
+        for i, parts, holes, ws in late:
+            for k in holes:
+                parts[k] = words[ws[k]]
+            out[i] = b"".join(parts)
+        for i, ids in zip(whole, self.encode_words([" " + found[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.data.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
-        return data.decode(errors="replace")[1:]
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """Texts of some ids, without the space that encoding puts in front."""
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        wide = self.long[flat]
+        ends = np.cumsum(wide)
+        data = self.data[np.repeat(self.at[flat] - ends + wide, wide) + np.arange(int(wide.sum()))].tobytes()
+        last = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) // self.dtype.itemsize for x in ids)])].tolist()
+        return [data[a:b].decode(errors="replace")[1:] for a, b in zip(last, last[1:], strict=False)]
 
 
 def pieces(path: str) -> Pieces:
@@ -161,10 +262,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for part in parts:
-            ids = [p.encode(x) for x in texts(part)]
+            ids = p.encode(texts(part))
             wide = [np.frombuffer(x, p.dtype).astype("<u4") for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(p.decode, ids), pa.string())],
+                [part.column("doc_id"), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(ids, pa.binary()), pa.array(p.decode(ids), pa.string())],
                 ["doc_id", "n_pieces", "ids_crc32", "ids", "decoded"],
             )
 
@@ -183,8 +284,8 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         p = pieces(path)
         for part in parts:
             found = texts(part)
-            ids = [p.encode(x) for x in found]
-            back = [p.decode(x) for x in ids]
+            ids = p.encode(found)
+            back = p.decode(ids)
             wide = [np.frombuffer(x, p.dtype).astype("<u4") for x in ids]
             same = [a.replace(SPACE, " ") == b for a, b in zip(found, back, strict=True)]
             cols = ([len(x) for x in wide], [zlib.crc32(x) for x in wide], [len(x) for x in back])
