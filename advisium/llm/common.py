@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from advisium.session import ship
+
 #: Rows of text that one Arrow batch holds. Texts are whole, so this bounds a worker's memory.
 TEXT_ROWS = 256
 WS = "[\\x20\\x09-\\x0D]"
@@ -24,9 +24,7 @@ def ready(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    path = sc.environment.get("PYTHONPATH", "")
-    if REPO not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, path) if x)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
