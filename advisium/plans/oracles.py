@@ -132,7 +132,7 @@ _COLS = "asset_ord, asset_id, advisory_id, product_id, adv_ord, prod_ord, stage,
 
 def _cand(stage: int, tier: str, verdict: str, confidence: str, ratio: str, joins: str, where: str = "true", in_range: str = "i.in_range") -> str:
     rng = " JOIN i ON i.rt = l.version_text AND i.vt0 = a.version" if "i." in in_range + where + verdict + confidence else ""
-    return f"""SELECT a.asset_ord, a.asset_id, l.advisory_id, l.product_id, l.adv_ord, l.prod_ord, {stage} AS stage, {tier} AS tier, {verdict} AS verdict, ({confidence})::DOUBLE AS confidence, ({ratio})::DOUBLE AS ratio,
+    return f"""SELECT a.asset_ord, a.asset_id, l.advisory_id, l.product_id, l.adv_ord, l.prod_ord, {stage} AS stage, {tier} AS tier, ({verdict})::VARCHAR AS verdict, ({confidence})::DOUBLE AS confidence, ({ratio})::DOUBLE AS ratio,
   {in_range} AS in_range, a.vk AS a_vk, a.full_key AS a_full, l.full_key AS l_full, l.keep, l.note FROM a JOIN l ON {joins}{rng} WHERE {where}"""
 
 
