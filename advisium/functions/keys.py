@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 from pyspark.sql import Column
@@ -70,7 +71,7 @@ def ident_key(x: Column | str) -> Column:
 
 def vendor_key(name: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """Canonical vendor; a spelling in no table is its letters without corporate words."""
-    table = F.create_map(*(F.lit(x) for pair in (aliases or alias_table()).items() for x in pair))
+    table = F.from_json(F.lit(json.dumps(aliases or alias_table())), "map<string,string>")  # folded to one literal
 
     def body(raw: Column) -> Column:
         short = squash(F.regexp_replace(raw, rf"\b(?:{CORPORATE_WORDS})\b\.?", " "))
