@@ -63,7 +63,7 @@ EPSS = "SELECT cve, max(round((vuln_ord % 40) / 200.0, 4)) AS epss FROM ({vuln})
 RUN = """SELECT event_type AS label, CAST(floor(event_id / {size}) AS INT) AS run, concat('U', user_id) AS asset_id, concat('V', CAST(floor(value) AS INT) % 5) AS advisory_id,
   max(CASE WHEN value >= 50 THEN 'NOW' WHEN value >= 20 THEN 'NEXT' ELSE 'LATER' END) AS priority FROM {events} GROUP BY 1, 2, 3, 4"""
 #: Events of a run.
-RUN_SIZE = 2000
+RUN_SIZE = 400
 TABLES = ("customer", "part", "lineitem", "orders", "events")
 
 
