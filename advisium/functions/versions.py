@@ -1,9 +1,10 @@
 """Versions and version ranges as native columns, with three-valued containment.
 
-A version is struct(raw, num, suf, component): num its numbers without trailing zeros, suf the rest
-in lower case. Arrays compare number by number and structs field by field, so struct(num, suf) has
-the order of versions. A text that is no version is null. A range is struct(raw, kind, note,
-constraints, component).
+A version is struct(raw, num, suf, component, ord): num its numbers without trailing zeros, suf the
+rest in lower case, ord a text that sorts as versions do: each number behind its length, then a
+mark under all digits, then suf. A text that is no version is null. A range is struct(raw, kind,
+note, constraints, component, lo, lo_in, hi, hi_in): constraints hold together, so they come down to
+one interval, and whether a version is inside takes two comparisons of texts.
 """
 
 from __future__ import annotations
@@ -28,18 +29,18 @@ REFUSED = (
     (r"(?i)prior to|before|earlier than|older than|distributed", "prose range, no machine syntax"),
 )
 CONSTRAINT = r"(<=|>=|<|>|=)\s*([^<>=|,\s]+)"
-VERSION = "struct<raw:string,num:array<decimal(38,0)>,suf:string,component:string>"
-RANGE = f"struct<raw:string,kind:string,note:string,constraints:array<struct<op:string,version:{VERSION}>>,component:string>"
+VERSION = "struct<raw:string,num:array<string>,suf:string,component:string,ord:string>"
+RANGE = f"struct<raw:string,kind:string,note:string,constraints:array<struct<op:string,version:{VERSION}>>,component:string,lo:string,lo_in:boolean,hi:string,hi_in:boolean>"
 
 
 def _trimmed(num: Column) -> Column:
     """Numbers without trailing zeros."""
-    last = F.array_max(F.transform(num, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    last = F.array_max(F.transform(num, lambda x, i: F.when(x != "0", i + 1).otherwise(0)))
     return F.slice(num, 1, F.coalesce(last, F.lit(0)))
 
 
 def parse_version(text: Column | str) -> Column:
-    """The version in a text, or null. Numbers of over 38 digits are not read."""
+    """The version in a text, or null. Numbers may be of any length."""
     none = F.lit(None).cast(VERSION)
 
     def qualified(raw: Column) -> Column:
@@ -51,22 +52,18 @@ def parse_version(text: Column | str) -> Column:
 
     def numbered(raw: Column, s: Column) -> Column:
         pattern = r"^([0-9]+(?:[._][0-9]+)*)([A-Za-z0-9._+\-()]*)$"
-        num = F.transform(F.split(F.regexp_extract(s["clean"], pattern, 1), "[._]"), lambda x: x.try_cast("decimal(38,0)"))
+        num = F.transform(F.split(F.regexp_extract(s["clean"], pattern, 1), "[._]"), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
         suf = F.lower(F.regexp_extract(s["clean"], pattern, 2))
-        read = lambda n: F.when(F.forall(n, lambda x: x.isNotNull()), F.struct(raw.alias("raw"), _trimmed(n).alias("num"), suf.alias("suf"), s["component"].alias("component")))
-        return F.when(s["clean"].rlike(pattern), let(num, read)).otherwise(none)
+        key = lambda n: F.concat(F.array_join(F.transform(n, lambda x: F.concat(F.lpad(F.length(x).cast("string"), 4, "0"), x)), ""), F.lit("!"), suf)
+        read = lambda n: F.struct(raw.alias("raw"), n.alias("num"), suf.alias("suf"), s["component"].alias("component"), key(n).alias("ord"))
+        return F.when(s["clean"].rlike(pattern), let(_trimmed(num), read)).otherwise(none)
 
     return let(strip(text), lambda raw: F.when(raw == "", none).otherwise(qualified(raw)))
 
 
 def order(version: Column) -> Column:
     """What versions compare by."""
-    return F.struct(version["num"].alias("num"), version["suf"].alias("suf"))
-
-
-def satisfied(op: Column, bound: Column, version: Column) -> Column:
-    a, b = order(version), order(bound)
-    return F.when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b).otherwise(a == b)
+    return version["ord"]
 
 
 def parse_range(text: Column | str) -> Column:
@@ -76,7 +73,19 @@ def parse_range(text: Column | str) -> Column:
         cons = F.array() if constraints is None else constraints
         component = F.lit("") if constraints is None else F.coalesce(F.get(F.filter(F.transform(cons, lambda c: c["version"]["component"]), lambda x: x != ""), F.lit(0)), F.lit(""))
         note = F.lit(note) if isinstance(note, str) else note
-        return F.struct(raw.alias("raw"), F.lit(kind).alias("kind"), note.alias("note"), cons.alias("constraints"), component.alias("component")).cast(RANGE)
+        low, high = (None, None) if constraints is None else (bound(cons, ">", F.array_max), bound(cons, "<", F.array_min))
+        none = F.lit(None)
+        return F.struct(
+            raw.alias("raw"), F.lit(kind).alias("kind"), note.alias("note"), cons.alias("constraints"), component.alias("component"),
+            (none if low is None else low["key"]).alias("lo"), (none if low is None else low["shut"] == 0).alias("lo_in"),
+            (none if high is None else high["key"]).alias("hi"), (none if high is None else high["shut"] == 0).alias("hi_in"),
+        ).cast(RANGE)
+
+    def bound(cons: Column, side: str, top) -> Column:
+        """The tightest bound of a side; of equal keys the one that leaves the key itself out."""
+        some = F.filter(cons, lambda c: c["op"].isin(side, f"{side}=", "="))
+        shut = 1 if side == ">" else -1
+        return top(F.transform(some, lambda c: F.struct(c["version"]["ord"].alias("key"), F.when(c["op"] == side, shut).otherwise(0).alias("shut"))))
 
     def bounded(raw: Column) -> Column:
         rest = F.regexp_extract(raw, r"(?s)^vers:[^/]*/(.+)$", 1)
@@ -112,7 +121,10 @@ def parse_range(text: Column | str) -> Column:
 
 def contains(rng: Column, version: Column) -> Column:
     """True, false, or null where it can't be told."""
-    inside = F.forall(rng["constraints"], lambda c: satisfied(c["op"], c["version"], version))
+    at = version["ord"]
+    over = rng["lo"].isNull() | (at > rng["lo"]) | rng["lo_in"] & (at == rng["lo"])
+    under = rng["hi"].isNull() | (at < rng["hi"]) | rng["hi_in"] & (at == rng["hi"])
+    inside = over & under
     return F.when(rng["kind"] == "UNPARSEABLE", F.lit(None).cast("boolean")).when(rng["kind"] == "ALL", True).when(version.isNotNull(), inside)
 
 

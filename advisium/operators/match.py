@@ -9,9 +9,9 @@
 | 4 | vendor, and product keys that are similar |
 | 5 | vendor only, for advisories that no other tier found |
 
-Candidates carry ordinals and scalars only. The best is the least of a struct in one aggregate with
-partial sums, so no asset's or advisory's candidates meet in one task; texts are made afterwards,
-for what is left.
+Candidates carry ordinals and scalars only. A candidate's rank and outcome are one long number, so
+that the best is the least of them in a hash aggregate with partial results, without a sort; no
+asset's or advisory's candidates meet in one task. Texts are made afterwards, for what is left.
 """
 
 from __future__ import annotations
@@ -31,14 +31,18 @@ FUZZY_THRESHOLD = 0.82
 CONFIDENCE = {0: 1.00, 1: 1.00, 2: 0.95, 3: 0.85, 4: 0.60, 5: 0.30}
 VERDICT = {0: "AFFECTED", 1: "AFFECTED", 2: "AFFECTED", 3: "AFFECTED", 4: "REVIEW", 5: "MANUAL"}
 WEAK_CONFIDENCE, UNREAD_CONFIDENCE, UNREAD_IDENT_CONFIDENCE = 0.45, 0.50, 0.70
-_RANK = ("cleared", "tier", "doubt", "stage", "adv_ord", "prod_ord")
-_KEPT = (*_RANK, "verdict", "confidence", "reason", "in_range", "ratio")
+#: What a candidate's reason is called, by the number that its rank holds.
+REASONS = ("decided", "ident", "cpe", "product", "weak", "similar", "vendor", "rejected", "confirmed")
+VERDICTS = ("AFFECTED", "REVIEW", "MANUAL", "UNKNOWN", "NOT_AFFECTED")
+#: Bits of a rank from its top: what decides first, then what is only carried.
+_FIELDS = (("cleared", 1), ("tier", 3), ("doubt", 10), ("stage", 3), ("prod_ord", 24), ("reason", 4), ("verdict", 3), ("in_range", 2), ("ratio", 13))
+_ROW = ("asset_ord", "adv_ord", "prod_ord", "stage", "tier", "verdict", "confidence", "reason", "in_range", "ratio")
 
 
 def _candidate(joined: DataFrame, stage: int, tier: Column | int, reason: str, in_range: Column | None = None, verdict: Column | None = None, confidence: Column | None = None, ratio: Column | None = None) -> DataFrame:
     none = F.lit(None)
     return joined.select(
-        "a.asset_ord", "l.advisory_id", "l.adv_ord", "l.prod_ord", F.lit(stage).alias("stage"),
+        "a.asset_ord", "l.adv_ord", "l.prod_ord", F.lit(stage).alias("stage"),
         (F.lit(tier) if isinstance(tier, int) else tier).alias("tier"), F.lit(reason).alias("reason"),
         (none if in_range is None else in_range).cast("boolean").alias("in_range"), (none if verdict is None else verdict).cast("string").alias("verdict"),
         (none if confidence is None else confidence).cast("double").alias("confidence"), (none if ratio is None else ratio).cast("double").alias("ratio"),
@@ -119,31 +123,31 @@ def by_decision(a: DataFrame, l: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def by_vendor(a: DataFrame, l: DataFrame, found: DataFrame, decisions: DataFrame | None, strict_clear: bool = False) -> DataFrame:  # noqa: E741
-    """Tier 5, for (asset_ord, advisory_id) not in found: the advisory's first leaf of the vendor.
+    """Tier 5, for (asset_ord, adv_ord) not in found: the advisory's first leaf of the vendor.
 
     Leaves that analysts decided are passed over: only then are an advisory's other leaves joined.
     With strict_clear all leaves count, so that one that is cleared hides no other.
     """
     x, y = a.where("vendor_key <> ''"), l.where("vendor_key <> ''")
-    found = found.select("asset_ord", "advisory_id").distinct()
+    found = found.select("asset_ord", "adv_ord").distinct()
 
     def open_pairs(leaves: DataFrame) -> DataFrame:
         joined = x.alias("a").join(leaves.alias("l"), F.col("a.vendor_key") == F.col("l.vendor_key"))
-        return _candidate(joined, 5, 5, "vendor").join(found, ["asset_ord", "advisory_id"], "left_anti")
+        return _candidate(joined, 5, 5, "vendor").join(found, ["asset_ord", "adv_ord"], "left_anti")
 
     if strict_clear:
         return open_pairs(y)
-    brief = ["adv_ord", "prod_ord", "key", "keep", "gate_note"]
-    first = y.groupBy("vendor_key", "advisory_id").agg(F.min(F.struct(*brief)).alias("x")).select("vendor_key", "advisory_id", "x.*")
-    out = open_pairs(first)
+    # two hash aggregates and a join instead of one aggregate of structs, which would sort
+    least = y.groupBy("vendor_key", "adv_ord").agg(F.min("prod_ord").alias("prod_ord"))
+    out = open_pairs(y.join(least, ["vendor_key", "adv_ord", "prod_ord"], "left_semi"))
     if decisions is None:
         return out
     keyed = decisions.select(F.col("vendor_key").alias("vk"), F.col("asset_product_key").alias("afull"), F.col("adv_product_key").alias("lfull"))
-    passed = out.join(keyed, ["vk", "afull", "lfull"], "left_semi").select("asset_ord", "advisory_id")
-    others = open_pairs(y).join(passed, ["asset_ord", "advisory_id"], "left_semi").join(keyed, ["vk", "afull", "lfull"], "left_anti")
-    next_best = others.groupBy("asset_ord", "advisory_id").agg(F.min_by(F.struct(*(c for c in others.columns if c not in ("asset_ord", "advisory_id"))), F.struct("adv_ord", "prod_ord")).alias("x"))
-    next_best = next_best.select("asset_ord", "advisory_id", "x.*").select(*out.columns)
-    return out.join(keyed, ["vk", "afull", "lfull"], "left_anti").select(*out.columns).union(next_best)
+    passed = out.join(keyed, ["vk", "afull", "lfull"], "left_semi").select("asset_ord", "adv_ord").distinct()
+    others = open_pairs(y).join(passed, ["asset_ord", "adv_ord"], "left_semi").join(keyed, ["vk", "afull", "lfull"], "left_anti")
+    least = others.groupBy("asset_ord", "adv_ord").agg(F.min("prod_ord").alias("prod_ord"))
+    others = others.join(least, ["asset_ord", "adv_ord", "prod_ord"], "left_semi")
+    return out.join(keyed, ["vk", "afull", "lfull"], "left_anti").select(*out.columns).unionByName(others.select(*out.columns))
 
 
 def overridden(found: DataFrame, a: DataFrame, l: DataFrame, decisions: DataFrame) -> DataFrame:  # noqa: E741
@@ -156,12 +160,12 @@ def overridden(found: DataFrame, a: DataFrame, l: DataFrame, decisions: DataFram
     cols = found.columns
     both = found.join(d, ["vk", "afull", "lfull"], "left")
     own = both.where("decision is null").select(*cols)
-    ruled = both.where("decision is not null").select("asset_ord", "advisory_id", "adv_ord", "prod_ord", "decision").distinct()
-    joined = ruled.alias("f").join(a.alias("a"), "asset_ord").join(l.drop("advisory_id").alias("l"), ["adv_ord", "prod_ord"]).withColumn("r", _in_range())
+    ruled = both.where("decision is not null").select("asset_ord", "adv_ord", "prod_ord", "decision").distinct()
+    joined = ruled.alias("f").join(a.alias("a"), "asset_ord").join(l.alias("l"), ["adv_ord", "prod_ord"]).withColumn("r", _in_range())
     joined = joined.where("decision = 'REJECTED' or r is null or r")
     rejected = F.col("decision") == "REJECTED"
     ruled = joined.select(
-        "asset_ord", "advisory_id", "adv_ord", "prod_ord", F.lit(0).alias("stage"), F.lit(0).alias("tier"), F.when(rejected, "rejected").otherwise("confirmed").alias("reason"),
+        "asset_ord", "adv_ord", "prod_ord", F.lit(0).alias("stage"), F.lit(0).alias("tier"), F.when(rejected, "rejected").otherwise("confirmed").alias("reason"),
         F.col("r").alias("in_range"), F.when(rejected, "NOT_AFFECTED").when(F.col("r"), "AFFECTED").otherwise("UNKNOWN").alias("verdict"), F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("double").alias("ratio"), F.col("a.vendor_key").alias("vk"), F.col("a.key.full").alias("afull"), F.col("l.key.full").alias("lfull"),
         (rejected | F.col("l.keep")).alias("keep"), F.when(rejected, "").otherwise(F.col("l.gate_note")).alias("gate_note"),
@@ -174,13 +178,40 @@ def gated(found: DataFrame) -> DataFrame:
     by_tier = lambda table: F.element_at(F.array(*(F.lit(table[t]) for t in range(6))), F.col("tier") + 1)
     verdict = F.when(~F.col("keep"), "NOT_AFFECTED").otherwise(F.coalesce("verdict", F.when(F.col("gate_note") != "", "UNKNOWN"), by_tier(VERDICT)))
     confidence = F.when(~F.col("keep"), by_tier(CONFIDENCE)).otherwise(F.coalesce("confidence", by_tier(CONFIDENCE)))
-    out = found.withColumns({"verdict": verdict, "confidence": confidence})
-    return out.withColumns({"cleared": (F.col("verdict") == "NOT_AFFECTED").cast("int"), "doubt": -F.col("confidence")})
+    return found.withColumns({"verdict": verdict, "confidence": confidence})
+
+
+def _number(names: tuple[str, ...], x: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, names)), x) - 1
+
+
+def _rank() -> Column:
+    """A candidate as one number: the least of an asset and advisory is the best."""
+    c = F.col
+    parts = {
+        "cleared": (c("verdict") == "NOT_AFFECTED").cast("long"), "tier": c("tier").cast("long"), "doubt": (1000 - F.round(c("confidence") * 1000)).cast("long"), "stage": c("stage").cast("long"), "prod_ord": c("prod_ord"),
+        "reason": _number(REASONS, c("reason")), "verdict": _number(VERDICTS, c("verdict")), "in_range": F.when(c("in_range"), 1).when(~c("in_range"), 0).otherwise(2).cast("long"), "ratio": F.round(F.coalesce("ratio", F.lit(0.0)) * 8000).cast("long"),
+    }
+    out = F.lit(0).cast("long")
+    for name, bits in _FIELDS:
+        out = F.shiftleft(out, bits).bitwiseOR(parts[name])
+    # an advisory of more products than its bits number would be ranked wrongly
+    return F.when(c("prod_ord").between(0, (1 << 24) - 1), out).otherwise(F.raise_error(F.lit("prod_ord is no place in an advisory")).cast("long"))
 
 
 def best(found: DataFrame) -> DataFrame:
     """The best candidate of each asset and advisory; a cleared leaf hides no other."""
-    return found.groupBy("asset_ord", "advisory_id").agg(F.min(F.struct(*_KEPT)).alias("x")).select("asset_ord", "advisory_id", "x.*")
+    top = found.select("asset_ord", "adv_ord", _rank().alias("rank")).groupBy("asset_ord", "adv_ord").agg(F.min("rank").alias("rank"))
+    parts, low = {}, 0
+    for name, bits in reversed(_FIELDS):
+        parts[name] = F.shiftright("rank", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        low += bits
+    named = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x + 1).cast("int"))
+    return top.select(
+        "asset_ord", "adv_ord", parts["prod_ord"].alias("prod_ord"), parts["stage"].cast("int").alias("stage"), parts["tier"].cast("int").alias("tier"), named(VERDICTS, parts["verdict"]).alias("verdict"),
+        ((1000 - parts["doubt"]) / 1000.0).alias("confidence"), named(REASONS, parts["reason"]).alias("reason"), F.when(parts["in_range"] == 1, True).when(parts["in_range"] == 0, False).alias("in_range"),
+        F.when(parts["ratio"] > 0, parts["ratio"] / 8000.0).alias("ratio"),
+    )
 
 
 def candidates(a: DataFrame, l: DataFrame, max_tier: int = 5, decisions: DataFrame | None = None, threshold: float = FUZZY_THRESHOLD, cpe_check_version: bool = False, strict_clear: bool = False) -> DataFrame:  # noqa: E741
@@ -247,25 +278,35 @@ def match_assets(
     assets: asset_ord, asset_id, vendor, product, version, model, cpe, purdue_level, site and others.
     """
     # each is read by every tier
-    a, l = cut(keyed_assets(assets, aliases)), cut(keyed_leaves(corpus, aliases))  # noqa: E741
+    a, l = cut(keyed_assets(assets, aliases)), cut(slim(keyed_leaves(corpus, aliases)))  # noqa: E741
     decisions = usable(decisions)
     top = best(candidates(a, l, max_tier, decisions, threshold, cpe_check_version, strict_clear))
     if not include_not_affected:
         top = top.where("verdict <> 'NOT_AFFECTED'")
-    out = top.alias("f").join(a.alias("a"), "asset_ord").join(l.drop("advisory_id").alias("l"), ["adv_ord", "prod_ord"])
+    # scores and texts are made for each leaf once, not for each finding
+    heads = corpus.advisories.select("advisory_id", "adv_ord", F.col("title").alias("advisory_title"), "tlp")
+    wide = scores(corpus.leaves.drop("adv_ord").join(heads, "advisory_id"), corpus.vulns).withColumn("rng", versions.parse_range("version_text"))
+    gates = l.select("adv_ord", "prod_ord", "gate_note", F.col("key.full").alias("adv_product_key"))
+    out = top.join(a.alias("a"), "asset_ord").join(wide.join(gates, ["adv_ord", "prod_ord"]).alias("l"), ["adv_ord", "prod_ord"])
     if decisions is not None:
-        on = (F.col("a.vendor_key") == F.col("d.vendor_key")) & (F.col("a.key.full") == F.col("d.asset_product_key")) & (F.col("l.key.full") == F.col("d.adv_product_key"))
+        on = (F.col("a.vendor_key") == F.col("d.vendor_key")) & (F.col("a.key.full") == F.col("d.asset_product_key")) & (F.col("l.adv_product_key") == F.col("d.adv_product_key"))
         out = out.join(decisions.alias("d"), on, "left")
     out = out.withColumn("clause", versions.clause(F.col("a.version"), F.col("a.ver"), F.col("l.rng")))
     extra = [F.col(f"a.{c}") for c in assets.columns if c in ("inventory",)]
-    out = out.select(
-        "asset_ord", "advisory_id", "adv_ord", "prod_ord", "tier", "verdict", "confidence", "reason", "in_range", "ratio", _basis(decisions is not None).alias("basis"),
+    return out.select(
+        "asset_ord", "l.advisory_id", "adv_ord", "prod_ord", "tier", "verdict", "confidence", "reason", "in_range", "ratio", _basis(decisions is not None).alias("basis"),
         "a.asset_id", "a.site", "a.purdue_level", F.col("a.vendor").alias("asset_vendor"), F.col("a.product").alias("asset_product"), F.col("a.version").alias("asset_version"), F.col("a.model").alias("model"),
-        F.col("a.vendor_key").alias("asset_vendor_key"), F.col("a.key.full").alias("asset_product_key"), F.col("l.key.full").alias("adv_product_key"),
+        F.col("a.vendor_key").alias("asset_vendor_key"), F.col("a.key.full").alias("asset_product_key"), F.col("l.adv_product_key").alias("adv_product_key"),
         F.col("l.product_id").alias("product_id"), F.col("l.vendor").alias("vendor"), F.col("l.product_name").alias("product"), F.col("l.rng.raw").alias("version_range"), *extra,
+        "l.cves", "l.cvss", "l.cvss_vector", "l.has_patch", "l.advisory_title", "l.tlp",
     )
-    out = scores(out, corpus.vulns)
-    return out.join(corpus.advisories.select("adv_ord", F.col("title").alias("advisory_title"), "tlp"), "adv_ord")
+
+
+def slim(leaves: DataFrame) -> DataFrame:
+    """What the tiers need of keyed leaves."""
+    rng = F.col("rng")
+    short = F.struct(*(rng[c].alias(c) for c in ("raw", "kind", "note")), F.array().cast("array<struct<op:string,version:struct<raw:string>>>").alias("constraints"), *(rng[c].alias(c) for c in ("component", "lo", "lo_in", "hi", "hi_in")))
+    return leaves.select("adv_ord", "prod_ord", "vendor_key", "key", short.alias("rng"), "idents", "cpe", "cpe_key", "keep", "gate_note")
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -162,11 +162,11 @@ def _keyed(spark, sf_dir):
     return cut(corpus.keyed_assets(bridge.assets(spark, sf_dir))), cut(corpus.keyed_leaves(bridge.corpus(spark, sf_dir)))
 
 
-_ROW = ["asset_ord", "advisory_id", "prod_ord", "tier", "verdict", "confidence", "in_range"]
+_ROW = ["asset_ord", "adv_ord", "prod_ord", "tier", "verdict", "confidence", "in_range"]
 
 
 def _tier(stage: str) -> str:
-    return f"WITH RECURSIVE {oracles.BASE}, {oracles.PAIRS}, {oracles.DECISIONS}, c0 AS ({stage}) SELECT asset_ord, advisory_id, prod_ord, tier, verdict, round(confidence, 6) AS confidence, in_range FROM c0"
+    return f"WITH RECURSIVE {oracles.BASE}, {oracles.PAIRS}, {oracles.DECISIONS}, c0 AS ({stage}) SELECT asset_ord, adv_ord, prod_ord, tier, verdict, round(confidence, 6) AS confidence, in_range FROM c0"
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -211,18 +211,18 @@ def similar_keys(spark, sf_dir):
     return found.select("vendor_key", "afull", "lfull", F.round("ratio", 6).alias("ratio"))
 
 
-@query(f"WITH RECURSIVE {oracles.BASE}, {oracles.DECISIONS}, c0 AS ({oracles.DECIDED}), c1 AS ({oracles.overridden('c0')}), c2 AS ({oracles.gated('c1')}) SELECT asset_ord, advisory_id, prod_ord, tier, verdict, confidence, in_range FROM c2")
+@query(f"WITH RECURSIVE {oracles.BASE}, {oracles.DECISIONS}, c0 AS ({oracles.DECIDED}), c1 AS ({oracles.overridden('c0')}), c2 AS ({oracles.gated('c1')}) SELECT asset_ord, adv_ord, prod_ord, tier, verdict, confidence, in_range FROM c2")
 def tier0_alias(spark, sf_dir):
     a, l = _keyed(spark, sf_dir)  # noqa: E741
     d = match.usable(bridge.decisions(spark, sf_dir))
     return _shown(match.gated(match.overridden(match.by_decision(a, l, d), a, l, d)))
 
 
-@query(oracles.found(5) + " SELECT asset_ord, advisory_id, prod_ord, verdict FROM c7")
+@query(oracles.found(5) + " SELECT asset_ord, adv_ord, prod_ord, verdict FROM c7")
 def tier5_vendor(spark, sf_dir):
     a, l = _keyed(spark, sf_dir)  # noqa: E741
     found = cut(match.candidates(a, l, 4))
-    return match.gated(match.by_vendor(a, l, found, None)).select("asset_ord", "advisory_id", "prod_ord", "verdict")
+    return match.gated(match.by_vendor(a, l, found, None)).select("asset_ord", "adv_ord", "prod_ord", "verdict")
 
 
 @query(f"WITH {oracles.BASE} SELECT advisory_id, product_id, NOT (nota OR fx) AS keep, CASE WHEN inv THEN 'vendor lists this product as under investigation' WHEN nota THEN 'vendor states not affected' WHEN fx THEN 'vendor lists this product version as fixed' ELSE '' END AS gate_note FROM st")
@@ -273,8 +273,8 @@ def leaf_scores(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, max_tier: int = 4):
-    found = match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), max_tier)
-    return enrich.scored(found, *bridge.feeds(spark, sf_dir))
+    c = bridge.corpus(spark, sf_dir)
+    return enrich.scored(match.match_assets(bridge.assets(spark, sf_dir), c, max_tier), *bridge.feeds(spark, sf_dir), corpus=c)
 
 
 _SCORED = f"{oracles.found(4)}, {oracles.SCORED}"

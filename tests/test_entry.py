@@ -71,7 +71,7 @@ class Gone(importlib.abc.MetaPathFinder):
 sys.meta_path.insert(0, Gone())
 try:
     import __spark_entry__
-except ModuleNotFoundError:
+except ImportError:
     sys.exit(7)
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 7
