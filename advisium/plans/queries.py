@@ -218,11 +218,13 @@ def tier0_alias(spark, sf_dir):
     return _shown(match.gated(match.overridden(match.by_decision(a, l, d), a, l, d)))
 
 
-@query(oracles.found(5) + " SELECT asset_ord, adv_ord, prod_ord, verdict FROM c7")
+@query(oracles.found(5) + " SELECT asset_ord, verdict, count(*) AS n, sum(adv_ord)::BIGINT AS advisories, sum(prod_ord)::BIGINT AS products FROM c7 GROUP BY ALL")
 def tier5_vendor(spark, sf_dir):
+    """All pairs, which are millions, summed up for each asset."""
     a, l = _keyed(spark, sf_dir)  # noqa: E741
     found = cut(match.candidates(a, l, 4))
-    return match.gated(match.by_vendor(a, l, found, None)).select("asset_ord", "adv_ord", "prod_ord", "verdict")
+    pairs = match.gated(match.by_vendor(a, l, found, None))
+    return pairs.groupBy("asset_ord", "verdict").agg(F.count("*").alias("n"), F.sum("adv_ord").alias("advisories"), F.sum("prod_ord").alias("products"))
 
 
 @query(f"WITH {oracles.BASE} SELECT advisory_id, product_id, NOT (nota OR fx) AS keep, CASE WHEN inv THEN 'vendor lists this product as under investigation' WHEN nota THEN 'vendor states not affected' WHEN fx THEN 'vendor lists this product version as fixed' ELSE '' END AS gate_note FROM st")
@@ -247,13 +249,15 @@ def match_max_tier(spark, sf_dir):
     return _found(match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 2))
 
 
-@query(f"{oracles.found(5, True, True)}, {oracles.SCORES} {_BEST}")
+@query(f"""{oracles.found(5, True, True)}, {oracles.SCORES} SELECT asset_id, tier, verdict, count(*) AS n, sum(adv_ord)::BIGINT AS advisories, sum(prod_ord)::BIGINT AS products, sum(len(cves))::BIGINT AS cves,
+round(sum(coalesce(cvss, 0)), 3) AS cvss, sum(length(cvss_vector))::BIGINT AS vectors, count(*) FILTER (has_patch) AS patched, round(sum(confidence), 3) AS confidence FROM fs GROUP BY ALL""")
 def match_not_affected(spark, sf_dir):
-    return _found(_everything(spark, sf_dir))
-
-
-def _everything(spark, sf_dir):
-    return match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 5, bridge.decisions(spark, sf_dir), include_not_affected=True)
+    """All tiers with decisions and cleared pairs, which are millions, summed up for each asset."""
+    found = match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 5, bridge.decisions(spark, sf_dir), include_not_affected=True)
+    return found.groupBy("asset_id", "tier", "verdict").agg(
+        F.count("*").alias("n"), F.sum("adv_ord").alias("advisories"), F.sum("prod_ord").alias("products"), F.sum(F.size("cves").cast("long")).alias("cves"), F.round(F.sum(F.coalesce("cvss", F.lit(0.0))), 3).alias("cvss"),
+        F.sum(F.length("cvss_vector").cast("long")).alias("vectors"), F.count_if("has_patch").alias("patched"), F.round(F.sum("confidence"), 3).alias("confidence"),
+    )
 
 
 @query(f"""WITH {oracles.BASE}, k AS (SELECT DISTINCT vk FROM l WHERE vk <> '' AND substr(vk, 1, 5) <> 'maker'), k2 AS (SELECT vk FROM k UNION ALL SELECT 'maker'), u AS (SELECT DISTINCT vk FROM a WHERE vk <> '' AND vk NOT IN (SELECT vk FROM k2))
