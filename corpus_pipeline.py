@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from advisium.llm import decontam, pii, quality_cnn, sentencepiece_ac, simhash
-from advisium.llm.common import documents, scratch
+from advisium.llm.common import documents, remove, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written and read again."""
+    """Applies the stages to documents, each written and read again; what a stage has read is then removed."""
     docs = documents(spark, sf_dir)
-    top = scratch(spark, "pipeline")
+    top, last = scratch(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if last:
+            remove(f"{top}/{last}")
+        last = name
     return docs
