@@ -13,7 +13,7 @@ from advisium.operators import bench, corpus, enrich, evaluate, feedback, histor
 from advisium.plans import bridge, oracles
 from advisium.plans import fixtures as fx
 from advisium.session import cut
-from advisium.sources import inventory
+from advisium.sources import csaf, inventory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -480,6 +480,53 @@ def bench_replicate(spark, sf_dir):
     return bench.replicate(bridge.assets(spark, sf_dir), 4000).select("asset_id", "product")
 
 
+# ---- CSAF files, written of the same tables ----
+
+
+def _csaf(spark, sf_dir) -> DataFrame:
+    """(source_path, doc): a CSAF document for each advisory."""
+    c = bridge.corpus(spark, sf_dir)
+    helper = F.struct("model_numbers", "cpe")
+    version = F.struct(F.lit("product_version_range").alias("category"), F.col("version_text").alias("name"), F.struct("product_id", F.col("product_name").alias("name"), helper.alias("product_identification_helper")).alias("product"))
+    name = F.struct(F.lit("product_name").alias("category"), F.col("product_name").alias("name"), F.array(version).alias("branches"))
+    vendor = F.struct(F.lit("vendor").alias("category"), F.col("vendor").alias("name"), F.array(name).alias("branches"))
+
+    def in_order(o: str, x):
+        """A JSON array of an advisory's objects."""
+        texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.to_json(x).alias("x")))), lambda y: y["x"])
+        return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+
+    trees = c.leaves.groupBy("advisory_id").agg(in_order("prod_ord", vendor).alias("branches"))
+    score = F.struct(F.struct(F.col("cvss_score").alias("baseScore"), F.col("cvss_vector").alias("vectorString")).alias("cvss_v3"))
+    remedy = F.when(F.col("has_remedy"), F.array(F.struct(F.lit("vendor_fix").alias("category"), F.lit("update").alias("details"))))
+    flaw = F.struct("cve", F.array(score).alias("scores"), F.col("status").alias("product_status"), remedy.alias("remediations"))
+    flaws = c.vulns.groupBy("advisory_id").agg(in_order("vuln_ord", flaw).alias("flaws"))
+    tracking = F.struct(F.col("advisory_id").alias("id"), F.col("published").alias("initial_release_date"), F.col("revised").alias("current_release_date"))
+    head = F.to_json(F.struct("title", tracking.alias("tracking"), F.struct(F.col("severity").alias("text")).alias("aggregate_severity"), F.array(F.struct(F.lit("summary").alias("category"), F.col("summary").alias("text"))).alias("notes")))
+    rows = c.advisories.join(trees, "advisory_id", "left").join(flaws, "advisory_id", "left")
+    text = F.concat(F.lit('{"document":'), head, F.lit(',"product_tree":{"branches":'), F.coalesce("branches", F.lit("[]")), F.lit('},"vulnerabilities":'), F.coalesce("flaws", F.lit("[]")), F.lit("}"))
+    return cut(rows.select("source_path", text.alias("value"))).select("source_path", F.try_parse_json("value").alias("doc"))
+
+
+@query(f"WITH b_adv AS ({bridge.duck_text(bridge.ADVISORY)}) SELECT advisory_id, title, published, severity, summary, source_path FROM b_adv")
+def csaf_headers(spark, sf_dir):
+    return csaf.headers(_csaf(spark, sf_dir)).select("advisory_id", "title", "published", "severity", "summary", "source_path")
+
+
+@query(f"""WITH b_leaf AS ({bridge.duck_text(bridge.LEAF)}) SELECT '/f/' || substr(advisory_id, 5) || '.json' AS source_path, product_id, vendor, product_name, version_text, cpe, len(model_numbers) AS models,
+row_number() OVER (PARTITION BY advisory_id ORDER BY prod_ord) - 1 AS prod_ord FROM b_leaf""")
+def csaf_flatten(spark, sf_dir):
+    found = csaf.leaves(spark, _csaf(spark, sf_dir))
+    return found.select("source_path", "product_id", "vendor", "product_name", "version_text", "cpe", F.size("model_numbers").alias("models"), "prod_ord")
+
+
+@query(f"""WITH b_vuln AS ({bridge.duck_text(bridge.VULN)}) SELECT '/f/' || substr(advisory_id, 5) || '.json' AS source_path, cve, cvss_score, cvss_vector, CASE WHEN stat = 'known_affected' THEN pid ELSE '' END AS known, stat, has_remedy,
+row_number() OVER (PARTITION BY advisory_id ORDER BY vuln_ord) - 1 AS vuln_ord FROM b_vuln""")
+def csaf_vulns(spark, sf_dir):
+    found = csaf.vulns(_csaf(spark, sf_dir))
+    return found.select("source_path", "cve", "cvss_score", "cvss_vector", F.array_join("known_affected", " ").alias("known"), F.map_keys("status")[0].alias("stat"), "has_remedy", "vuln_ord")
+
+
 # ---- search ----
 
 
