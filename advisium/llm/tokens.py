@@ -80,17 +80,17 @@ class WordEncoder:
         whole, split, late, new = [], [], [], {}
         get = self.words.get
         for i, text in enumerate(found):
-            head, *ws = text.replace("\n", " \n").split(" ")
-            if ws and not _SAFE.fullmatch(head) or self.special and self.special.search(text):
+            if self.special and self.special.search(text):
                 whole.append(i)
                 continue
+            ws = f"\n{text}".replace("\n", " \n").split(" ")[1:]  # the first word behind a break, which is cut off below
             parts = list(map(get, ws))
             k, holes = -1, []
             for _ in range(parts.count(None)):
                 k = parts.index(None, k + 1)
                 holes.append(k)
                 new[ws[k]] = None
-            split.append((i, head, parts))
+            split.append((i, parts))
             if holes:
                 late.append((i, parts, holes, ws))
         if new:
@@ -104,8 +104,8 @@ class WordEncoder:
             if odd:
                 whole += odd
                 split = [x for x in split if x[0] not in odd]
-        for (i, _, parts), head in zip(split, self._raw([head for _, head, _ in split]), strict=True):
-            out[i] = head + b"".join(parts)
+        for i, parts in split:
+            out[i] = b"".join(parts)[self.dtype.itemsize :]
         for i, ids in zip(whole, self._raw([found[i] for i in whole]), strict=True):
             out[i] = ids
         return out
