@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advisium.llm import decontam, pii, quality_cnn, sentencepiece_ac, simhash
+from advisium.llm import decontam, near_copies, pii, quality_cnn, sentencepiece_ac
 from advisium.llm.common import documents, remove, scratch
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies stays: 0.8 or more of their five-word shingles alike."""
+    return near_copies.deduplicate(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
