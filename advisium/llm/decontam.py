@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman scores them.
-
-Test items are taken in slices of at most SLICE_GRAMS n-grams, so what goes to the executors is
-bounded however large the benchmark is; every slice is held against all documents. A first scan
-counts in how many documents each n-gram of the items is. In each run of SPREAD n-grams of an item
-the rarest becomes a seed, so a document that shares SPREAD + WIDTH - 1 words in a row with an item
-always meets a seed, also where the item has leaked into a third of the corpus. A second scan aligns
-the words around the seeds that a document holds with the item.
+"""Benchmark decontamination: rare words find candidates, a bound thins them, Smith-Waterman scores them.
+
+Test items are taken in slices of at most SLICE_GRAMS words, so what goes to the executors is bounded
+however large the benchmark is; every slice is held against all documents. No leak is lost: an
+alignment that reaches half of the best score of an item of m words matches m / 2 of them or more, so
+it matches j or more of any m // 2 + j. A first scan counts in how many documents each word of the
+items is, and the rarest m // 2 + j of an item are its seeds. Where a document holds j of them, a word
+of the item counts MATCH and any other -1 over the document's words: no alignment is above the best
+sum of a stretch. Where that sum reaches the threshold, a second scan aligns.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from advisium.llm.common import ready, texts
 
-WIDTH, SPREAD, SLICE_GRAMS = 3, 3, 200_000
+#: Least words of an item, seeds of it that a document must hold, and words of a slice.
+WIDTH, SEEDS, SLICE_GRAMS = 3, 3, 200_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least alignment score as a share of the item's score against itself.
 THRESHOLD = 0.5
@@ -34,70 +35,54 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """A slice of test items as word ids, with their n-grams and, once chosen, their seeds."""
+    """A slice of test items as word ids and, once chosen, their seeds."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]):
         self.vocab: dict[str, int] = {}
         self.item_ids = [i for i, _ in rows]
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64) for _, ws in rows]
-        self.base = len(self.vocab) + 1
-        self.keys = [self.grams(w) for w in self.words]
-        self.table = np.unique(np.concatenate([*self.keys, np.empty(0, np.int64)]))
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        self.own = [np.unique(w) for w in self.words]
 
     def ids(self, text: str) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words(text), repeat(0)), np.int64)
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each n-gram; -1 where a word is in no item."""
-        n = max(0, len(ids) - WIDTH + 1)
-        key, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(WIDTH):
-            part = ids[k : k + n]
-            key = key * self.base + part
-            known &= part > 0
-        return np.where(known, key, -1)
-
-    def places(self, ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where n-grams of the table are in a document, and which they are."""
-        key = self.grams(ids)
-        at = np.flatnonzero(key >= 0)
-        if not len(at) or not len(table):
-            return at[:0], at[:0]
-        k = np.searchsorted(table, key[at]).clip(max=len(table) - 1)
-        hit = table[k] == key[at]
-        return at[hit], k[hit]
-
     def choose(self, counts: dict[int, int]) -> None:
-        """Takes the rarest n-gram of each SPREAD in a row as a seed."""
-        found = defaultdict(set)
-        for n, keys in enumerate(self.keys):
-            rank = [(counts.get(k, 0), k, p) for p, k in enumerate(keys.tolist())]
-            for p in range(max(1, len(rank) - SPREAD + 1)):
-                if near := rank[p : p + SPREAD]:
-                    _, k, at = min(near)
-                    found[k].add((n, at))
-        self.seed_table = np.array(sorted(found), np.int64)
-        self.seeds = {i: sorted(found[k]) for i, k in enumerate(self.seed_table.tolist())}
+        """Takes the words at the rarest places of each item as its seeds."""
+        self.need = np.array([max(1, min(SEEDS, len(w) // 6)) for w in self.words], np.int64)
+        found: list[list[int]] = [[] for _ in range(len(self.vocab) + 1)]
+        self.seeds = []
+        for n, w in enumerate(self.words):
+            ranked = sorted(w.tolist(), key=lambda k: (counts.get(k, 0), k))
+            # a place that is matched is in the set by its word: equal words count at all their places
+            chosen = set(ranked[: len(w) // 2 + int(self.need[n])])
+            self.seeds.append(np.array(sorted(chosen), np.int64))
+            for k in chosen:
+                found[k].append(n)
+        self.starts = np.cumsum([0, *map(len, found)])
+        self.holders = np.array([n for some in found for n in some], np.int64)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, seeds): stretches of a document's words around seeds."""
-        at, which = self.places(ids, self.seed_table)
-        lines = defaultdict(list)
-        for p, k in zip(at.tolist(), which.tolist(), strict=True):
-            for n, offset in self.seeds[k]:
-                lines[n].append((p - offset, offset))
+        """(item number, start, end, seeds): stretches of a document's words that may hold an item."""
+        known = ids[ids > 0]
+        sizes = self.starts[known + 1] - self.starts[known]
+        total = int(sizes.sum())
+        if not total:
+            return []
+        at = np.repeat(self.starts[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
+        hits = np.bincount(self.holders[at], minlength=len(self.words))
         out = []
-        for n, found in lines.items():
-            found.sort()
-            size = len(self.words[n])
-            slack = size // 2 + 2
-            group = [found[0]]
-            for x in [*found[1:], None]:
-                if x is None or x[0] - group[-1][0] > slack:
-                    out.append((n, max(0, group[0][0] - slack), min(len(ids), group[-1][0] + size + slack), len({o for _, o in group})))
-                    group = []
-                group.append(x)
+        for n in np.flatnonzero(hits >= self.need).tolist():
+            size, own = len(self.words[n]), self.own[n]
+            held = own[np.searchsorted(own, ids).clip(max=len(own) - 1)] == ids
+            total_at = np.cumsum(np.where(held, MATCH, -1))
+            best = total_at - np.minimum(np.minimum.accumulate(total_at), 0)
+            ends = np.flatnonzero(held & (best >= THRESHOLD * MATCH * size))
+            if not len(ends):
+                continue
+            cut = np.flatnonzero(np.diff(ends) > 2 * size) + 1
+            for part in np.split(ends, cut):
+                start, end = max(0, int(part[0]) - 2 * size), int(part[-1]) + 1
+                out.append((n, start, end, len(np.intersect1d(ids[start:end], self.seeds[n]))))
         return out
 
 
@@ -144,15 +129,15 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def _seeded(docs: DataFrame, items: Items) -> Items:
-    """Counts documents by n-gram, a number for each n-gram of the slice, and chooses seeds."""
+    """Counts documents by word, a number for each word of the slice, and chooses seeds."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(items.table), np.int64)
+        seen = np.zeros(len(items.vocab) + 1, np.int64)
         for part in parts:
             for text in texts(part):
-                seen[np.unique(items.places(items.ids(text), items.table)[1])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(items.table[at]), pa.array(seen[at])], ["k", "n"])
+                seen[np.unique(items.ids(text))] += 1
+        at = np.flatnonzero(seen[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["k", "n"])
 
     counted = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     items.choose({k: n for k, n in counted.collect()})
