@@ -1,41 +1,115 @@
-"""Benchmark decontamination: rare words find candidates, a bound thins them, Smith-Waterman scores them.
-
-Test items are taken in slices of at most SLICE_GRAMS words, so what goes to the executors is bounded
-however large the benchmark is; every slice is held against all documents. No leak is lost: an
-alignment that reaches half of the best score of an item of m words matches m / 2 of them or more, so
-it matches j or more of any m // 2 + j. A first scan counts in how many documents each word of the
-items is, and the rarest m // 2 + j of an item are its seeds. Where a document holds j of them, a word
-of the item counts MATCH and any other -1 over the document's words: no alignment is above the best
-sum of a stretch. Where that sum reaches the threshold, a second scan aligns.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores them.
+
+A seed is two words that follow each other in an item; a document holds it where it has them in that
+order with at most one word between. One scan of the documents keeps, for each distinct text, the
+seeds that it may hold; what follows are joins of that table with the items, whatever their number.
+
+No leak is lost. Let an alignment match k words of an item of m, skip or change x of the item's and
+insert i; it is a leak if 2k - x - i >= m. Of its k - 1 steps from match to match at least
+ceil(m / 3) - 1, and at least one if m > 3, go from a word of the item to the next with at most one
+word between in the document: steps with x cost x, others two or more of i, and k + x <= m. So of the
+item's m - 1 pairs the most common may be passed over: any set of all but ceil(m / 3) - 1 - j of them
+has j or more in each leak. SEEDS is the most that j is. Counts are of all distinct texts.
+
+Items of more than 2 * SPAN words are also held in windows of that many, so a part of SPAN words in a
+row is found in an item of any length. Items of 2 or 3 words are leaked by their words in a row, those
+of one word by a text of just that word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from advisium.llm.common import ready, texts
+from advisium.llm.common import ready, signed, texts
 
-#: Least words of an item, seeds of it that a document must hold, and words of a slice.
-WIDTH, SEEDS, SLICE_GRAMS = 3, 3, 200_000
+#: Seeds that a document must hold of a long item, words of a part that counts as a leak, and words of an item that must be there whole.
+SEEDS, SPAN, SHORT = 3, 20, 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least alignment score as a share of the item's score against itself.
 THRESHOLD = 0.5
-_WORD = re.compile(r"\w+")
+#: The filter of seeds that tasks get has at most 2 ** BITS bits (8 MB); one that is too full lets more through to the join.
+BITS = 26
+#: Characters of a text whose words are held at once, and hashes of words that a worker keeps.
+BLOCK, CACHE = 1 << 20, 1 << 20
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\s")
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Hashes(dict):
+    """Hashes of words; zero is none."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) | 1
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def hashes(text: str) -> np.ndarray:
+    """A hash for each word; the words of a long text are never all held as strings."""
+    out, at = [], 0
+    while at < len(text) or not out:
+        cut = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        end = cut.start() if cut else len(text)
+        found = words(text[at:end])
+        out.append(np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)))
+        at = max(end, at + 1)
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two words, in order."""
+    x = a * _M1 + (b ^ (b >> np.uint64(29))) * _M2
+    x = (x ^ (x >> np.uint64(32))) * _M3
+    return x ^ (x >> np.uint64(29))
+
+
+def alone(h: np.ndarray) -> np.ndarray:
+    """The seed of a text of one word."""
+    return pair(h, np.zeros_like(h))
+
+
+def units(size: int) -> list[tuple[int, int]]:
+    """What of an item of so many words is looked for: the whole, and windows of a long one."""
+    wide = 2 * SPAN
+    if size <= wide:
+        return [(0, size)]
+    return [(0, size), *((s, s + wide) for s in range(0, size - wide, SPAN)), (size - wide, size)]
+
+
+def enough(size: int) -> tuple[int, int]:
+    """(seeds to choose, seeds to hold) of a unit of so many words."""
+    if size <= SHORT:
+        return max(1, size - 1), max(1, size - 1)
+    sure = max(1, math.ceil(size / 3) - 1)
+    need = min(SEEDS, sure)
+    return size - 1 - sure + need, need
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
 class Items:
-    """A slice of test items as word ids and, once chosen, their seeds."""
+    """Test items as word ids."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]):
         self.vocab: dict[str, int] = {}
@@ -44,46 +118,29 @@ class Items:
         self.own = [np.unique(w) for w in self.words]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words(text), repeat(0)), np.int64)
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Takes the words at the rarest places of each item as its seeds."""
-        self.need = np.array([max(1, min(SEEDS, len(w) // 6)) for w in self.words], np.int64)
-        found: list[list[int]] = [[] for _ in range(len(self.vocab) + 1)]
-        self.seeds = []
-        for n, w in enumerate(self.words):
-            ranked = sorted(w.tolist(), key=lambda k: (counts.get(k, 0), k))
-            # a place that is matched is in the set by its word: equal words count at all their places
-            chosen = set(ranked[: len(w) // 2 + int(self.need[n])])
-            self.seeds.append(np.array(sorted(chosen), np.int64))
-            for k in chosen:
-                found[k].append(n)
-        self.starts = np.cumsum([0, *map(len, found)])
-        self.holders = np.array([n for some in found for n in some], np.int64)
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, seeds): stretches of a document's words that may hold an item."""
-        known = ids[ids > 0]
-        sizes = self.starts[known + 1] - self.starts[known]
-        total = int(sizes.sum())
-        if not total:
+        found, at = [], 0
+        while at < len(text) or not found:
+            cut = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+            end = cut.start() if cut else len(text)
+            found.append(np.fromiter(map(self.vocab.get, words(text[at:end]), repeat(0)), np.int64))
+            at = max(end, at + 1)
+        return np.concatenate(found)
+
+    def stretches(self, n: int, ids: np.ndarray) -> list[np.ndarray]:
+        """Parts of a document's words outside of which item n has no alignment that is a leak.
+
+        With MATCH for each word of the item and -1 for any other, no alignment is above the best sum of
+        a stretch.
+        """
+        size, own = len(self.words[n]), self.own[n]
+        held = own[np.searchsorted(own, ids).clip(max=len(own) - 1)] == ids
+        total = np.cumsum(np.where(held, MATCH, -1))
+        best = total - np.minimum(np.minimum.accumulate(total), 0)
+        ends = np.flatnonzero(held & (best >= THRESHOLD * MATCH * min(size, 2 * SPAN)))
+        if not len(ends):
             return []
-        at = np.repeat(self.starts[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
-        hits = np.bincount(self.holders[at], minlength=len(self.words))
-        out = []
-        for n in np.flatnonzero(hits >= self.need).tolist():
-            size, own = len(self.words[n]), self.own[n]
-            held = own[np.searchsorted(own, ids).clip(max=len(own) - 1)] == ids
-            total_at = np.cumsum(np.where(held, MATCH, -1))
-            best = total_at - np.minimum(np.minimum.accumulate(total_at), 0)
-            ends = np.flatnonzero(held & (best >= THRESHOLD * MATCH * size))
-            if not len(ends):
-                continue
-            cut = np.flatnonzero(np.diff(ends) > 2 * size) + 1
-            for part in np.split(ends, cut):
-                start, end = max(0, int(part[0]) - 2 * size), int(part[-1]) + 1
-                out.append((n, start, end, len(np.intersect1d(ids[start:end], self.seeds[n]))))
-        return out
+        cut = np.flatnonzero(np.diff(ends) > 2 * size) + 1
+        return [ids[max(0, int(x[0]) - 2 * size) : int(x[-1]) + 1] for x in np.split(ends, cut)]
 
 
 def align(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
@@ -112,93 +169,152 @@ def align(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _slices(benchmark: DataFrame) -> Iterator[Items]:
-    held, size = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
-    for item_id, text in rows.toLocalIterator():
-        ws = words(text)
-        if len(ws) < WIDTH:
+def _whole(batch: list[tuple[list[str], str]]) -> list[tuple[float, bool]]:
+    """(score, leaked) of each pair of an item's words and a text."""
+    items = Items([(n, ws) for n, (ws, _) in enumerate(batch)])
+    jobs: list[tuple[int, int, int, np.ndarray]] = []
+    last, ids = None, np.empty(0, np.int64)
+    for n, (ws, text) in enumerate(batch):
+        if text is not last:
+            last, ids = text, items.ids(text)
+        if len(ws) == 1 and (len(ids) > 1 or not len(ids)):
             continue
-        if held and size + len(ws) > SLICE_GRAMS:
-            yield Items(held)
-            held, size = [], 0
-        held.append((item_id, ws))
-        size += len(ws)
-    if held:
-        yield Items(held)
+        jobs += [(n, s, e, part) for part in items.stretches(n, ids) for s, e in units(len(ws))]
+    out = [(0.0, False)] * len(batch)
+    if jobs:
+        best = align([items.words[n][s:e] for n, s, e, _ in jobs], [part for *_, part in jobs])
+        for (n, s, e, _), top in zip(jobs, best.tolist(), strict=True):
+            share = top / (MATCH * (e - s))
+            score, leaked = out[n]
+            out[n] = (max(score, share) if e - s == len(items.words[n]) else score, leaked or share >= (THRESHOLD if e - s > SHORT else 1))
+    return out
 
 
-def _seeded(docs: DataFrame, items: Items) -> Items:
-    """Counts documents by word, a number for each word of the slice, and chooses seeds."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words, units): distinct items that have words; each unit as (size, choose, need, seeds)."""
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(items.vocab) + 1, np.int64)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = pa.struct([("n", pa.int32()), ("choose", pa.int32()), ("need", pa.int32()), ("seeds", pa.list_(pa.int64()))])
+        for part in parts:
+            ids, found, all_units = [], [], []
+            for i, text in zip(part.column("item_id").to_pylist(), texts(part), strict=True):
+                if not (ws := words(text)):
+                    continue
+                h = hashes(text)
+                seeds = signed(pair(h[:-1], h[1:]) if len(h) > 1 else alone(h))
+                ids.append(i)
+                found.append(ws)
+                own = [(n, *enough(e - s), seeds[s : max(e - 1, s + 1)]) for n, (s, e) in enumerate(units(len(ws)))]
+                all_units.append([dict(zip(("n", "choose", "need", "seeds"), x, strict=True)) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(all_units, pa.list_(unit))], ["item_id", "words", "units"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    schema = "item_id long, words array<string>, units array<struct<n:int,choose:int,need:int,seeds:array<bigint>>>"
+    return rows.mapInArrow(run, schema).withColumn("item", F.monotonically_increasing_id()).checkpoint()
+
+
+def _filter(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """The bits of a filter that all seeds pass, and how many are a seed's place."""
+    bits = min(BITS, max(12, (64 * seeds.count()).bit_length()))
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    rows = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("x")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows["at"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64).view(np.uint64)
+    return bits, table
+
+
+def _held(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(t1, t2, seeds): the distinct seeds that each distinct text may hold; texts without any are left out."""
+    bits, table = _filter(seeds)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    low = np.uint64(64 - bits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for part in parts:
+            found, rows = [], []
+            for r, text in enumerate(texts(part)):
+                h = hashes(text)
+                every = np.concatenate([pair(h[:-1], h[1:]), pair(h[:-2], h[2:])]) if len(h) > 1 else alone(h)
+                at = every >> low
+                every = every[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+                if len(every):
+                    rows.append(r)
+                    found.append(np.unique(every))
+            if rows:
+                ends = np.cumsum([0, *map(len, found)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(found))))
+                yield pa.RecordBatch.from_arrays([part.column("t1").take(pa.array(rows)), part.column("t2").take(pa.array(rows)), lists], ["t1", "t2", "seeds"])
+
+    rows = docs.select(*text_key(F.col("text")), "text").mapInArrow(run, "t1 long, t2 long, seeds array<long>")
+    return rows.dropDuplicates(["t1", "t2"])
+
+
+def _chosen(items: DataFrame, held: DataFrame) -> DataFrame:
+    """(seed, item, n, w, need): the rarest seeds of each unit; w counts their places in it."""
+    places = items.select("item", F.explode("units").alias("u")).select("item", "u.n", "u.choose", "u.need", F.explode("u.seeds").alias("seed"))
+    own = places.groupBy("item", "n", "choose", "need", "seed").agg(F.count("*").alias("w"))
+    counts = held.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("texts"))
+    by = Window.partitionBy("item", "n").orderBy("texts", "seed").rowsBetween(Window.unboundedPreceding, -1)
+    # a seed that no text holds takes its place among the rarest, but need not be joined
+    ranked = own.join(counts, "seed", "left").withColumn("texts", F.coalesce("texts", F.lit(0))).withColumn("before", F.coalesce(F.sum("w").over(by), F.lit(0)))
+    return ranked.where("before < choose and texts > 0").select("seed", "item", "n", "w", "need")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(t1, t2, item_id, score, n_seeds): items that each distinct text holds."""
+    ready(docs.sparkSession)
+    items = _items(benchmark)
+    seeds = items.select(F.explode("units.seeds").alias("s")).select(F.explode("s").alias("seed")).distinct()
+    held = _held(docs, seeds).checkpoint()
+    # both sides of the join are cut, so that adaptive execution can split a seed that many texts hold
+    chosen = _chosen(items, held).checkpoint()
+    hits = held.select("t1", "t2", F.explode("seeds").alias("seed")).join(chosen, "seed")
+    near = hits.groupBy("t1", "t2", "item", "n", "need").agg(F.sum("w").alias("w"), F.count("*").alias("n_seeds")).where("w >= need")
+    near = near.groupBy("t1", "t2", "item").agg(F.max("n_seeds").cast("int").alias("n_seeds")).checkpoint()
+    whole = docs.select(*text_key(F.col("text")), "text").join(near.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    pairs = near.join(items.select("item", "item_id", "words"), "item").join(whole, ["t1", "t2"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for text in texts(part):
-                seen[np.unique(items.ids(text))] += 1
-        at = np.flatnonzero(seen[1:]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["k", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    items.choose({k: n for k, n in counted.collect()})
-    return items
-
-
-def _score(items: Items, found: list[str]) -> list[dict[int, tuple[float, int]]]:
-    """For each text, the best (score, seeds) of each item number that reaches the threshold."""
-    todo, pairs = [], []
-    for row, text in enumerate(found):
-        ids = items.ids(text)
-        for n, start, end, seeds in items.candidates(ids):
-            todo.append((row, n, seeds))
-            pairs.append((items.words[n], ids[start:end]))
-    out: list[dict[int, tuple[float, int]]] = [{} for _ in found]
-    if todo:
-        best = align([a for a, _ in pairs], [b for _, b in pairs])
-        for (row, n, seeds), score in zip(todo, best.tolist(), strict=True):
-            share = score / (MATCH * len(items.words[n]))
-            if share >= THRESHOLD:
-                out[row][n] = max(out[row].get(n, (0.0, 0)), (share, seeds))
+            done = _whole(list(zip(part.column("words").to_pylist(), _shared(texts(part)), strict=True)))
+            keep = pa.array([leaked for _, leaked in done], pa.bool_())
+            columns = [part.column(c) for c in ("t1", "t2", "item_id")] + [pa.array([s for s, _ in done], pa.float64()), part.column("n_seeds")]
+            yield pa.RecordBatch.from_arrays(columns, ["t1", "t2", "item_id", "score", "n_seeds"]).filter(keep)
+
+    scored = pairs.mapInArrow(run, "t1 long, t2 long, item_id long, score double, n_seeds int")
+    best = scored.groupBy("t1", "t2", "item_id").agg(F.max(F.struct("score", "n_seeds")).alias("x"))
+    return best.select("t1", "t2", "item_id", "x.score", "x.n_seeds")
+
+
+def _shared(found: list[str]) -> list[str]:
+    """The same texts, equal neighbours as one object."""
+    out: list[str] = []
+    for text in found:
+        out.append(out[-1] if out and out[-1] == text else text)
     return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, n_seeds): items that a document holds, exact, edited or paraphrased.
 
-    score: best local alignment over the item's score against itself, THRESHOLD to 1. n_seeds:
-    distinct seeds of that place. Null texts hold nothing; items that are null or under WIDTH words
-    match nothing; repeated rows of documents give repeated rows, repeated items one. Other columns
-    are not read. Without items or documents the result is empty.
+    score: best local alignment over the item's score against itself, THRESHOLD to 1; under it where a
+    window of a long item reaches THRESHOLD. n_seeds: chosen seeds that the document holds. Null texts
+    hold nothing, and items that are null or without words match nothing. Ties: an item_id on several
+    texts gives its best score. Repeated rows of documents give repeated rows, repeated items one.
+    Null doc_ids stay null. Long texts are read whole, their words a block at a time. Other columns are
+    not read. Without items or documents the result is empty.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    out = spark.createDataFrame([], "doc_id long, item_id long, score double, n_seeds int")
-    for items in _slices(benchmark):
-        _seeded(docs, items)
-
-        def run(parts: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[r], items.item_ids[n], s, k) for r, hits in enumerate(_score(items, texts(part))) for n, (s, k) in sorted(hits.items())]
-                if rows:
-                    cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["doc_id", "item_id", "score", "n_seeds"])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out.schema)
-        out = out.union(found)
-    return out
+    found = _found(docs, benchmark)
+    rows = docs.select(F.col("doc_id").cast("long"), *text_key(F.col("text")))
+    return rows.join(found, ["t1", "t2"]).select("doc_id", "item_id", "score", "n_seeds")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns, in one pass without a shuffle."""
-    ready(docs.sparkSession)
-    schema = docs.schema
-    for items in _slices(benchmark):
-        _seeded(docs, items)
-
-        def run(parts: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                yield part.filter(pa.array([not hits for hits in _score(items, texts(part))], pa.bool_()))
+    """The documents that hold no item as leaks() tells, with all their columns, whatever their names.
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    Null and empty texts hold nothing and stay, as do null doc_ids; equal texts stay or go together.
+    """
+    gone = _found(docs, benchmark).select("t1", "t2").distinct()
+    t1, t2 = text_key(docs["text"])
+    return docs.join(gone, (t1 == gone["t1"]) & (t2 == gone["t2"]), "left_anti")
