@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from advisium.session import ship
 TEXT_ROWS = 256
 WS = "[\\x20\\x09-\\x0D]"
 NOT_WS = "[^\\x20\\x09-\\x0D]"
+#: Characters of a text whose words are held at once, and hashes of words that a worker keeps.
+BLOCK, CACHE = 1 << 20, 1 << 20
+_BREAK = re.compile("[\x20\x09-\x0D]")
 
 
 def ready(spark: SparkSession) -> None:
@@ -113,3 +118,31 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Itera
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def blocks(text: str) -> Iterator[str]:
+    """A text in parts that end before white space, so that no word is cut; one at least."""
+    at = 0
+    while len(text) - at > BLOCK and (cut := _BREAK.search(text, at + BLOCK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+class Hashes(dict):
+    """64-bit hashes of words, never zero, as many as CACHE kept."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) | 1
+        return h
+
+
+HASHES = Hashes()
+
+
+def word_hashes(parts: Iterator[list]) -> np.ndarray:
+    """Hashes of words that come in lists."""
+    found = [np.fromiter(map(HASHES.__getitem__, x), np.uint64, len(x)) for x in parts]
+    return np.concatenate(found) if len(found) > 1 else found[0]

@@ -25,11 +25,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from advisium.llm.common import ready, signed, texts
+from advisium.llm.common import blocks, ready, signed, texts, word_hashes
 
 #: Seeds that a document must hold of a long item, words of a part that counts as a leak, and words of an item that must be there whole.
 SEEDS, SPAN, SHORT = 3, 20, 3
@@ -38,9 +37,9 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
 #: The filter of seeds that tasks get has at most 2 ** BITS bits (8 MB); one that is too full lets more through to the join.
 BITS = 26
-#: Characters of a text whose words are held at once, and hashes of words that a worker keeps.
-BLOCK, CACHE = 1 << 20, 1 << 20
-_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\s")
+#: Keys of 16 bytes that a broadcast may have.
+SMALL = 1_000_000
+_WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -48,29 +47,9 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class _Hashes(dict):
-    """Hashes of words; zero is none."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) | 1
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def hashes(text: str) -> np.ndarray:
     """A hash for each word; the words of a long text are never all held as strings."""
-    out, at = [], 0
-    while at < len(text) or not out:
-        cut = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
-        end = cut.start() if cut else len(text)
-        found = words(text[at:end])
-        out.append(np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)))
-        at = max(end, at + 1)
-    return np.concatenate(out) if len(out) > 1 else out[0]
+    return word_hashes(words(x) for x in blocks(text))
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,12 +72,12 @@ def units(size: int) -> list[tuple[int, int]]:
     return [(0, size), *((s, s + wide) for s in range(0, size - wide, SPAN)), (size - wide, size)]
 
 
-def enough(size: int) -> tuple[int, int]:
+def enough(size: int, most: int = SEEDS) -> tuple[int, int]:
     """(seeds to choose, seeds to hold) of a unit of so many words."""
     if size <= SHORT:
         return max(1, size - 1), max(1, size - 1)
     sure = max(1, math.ceil(size / 3) - 1)
-    need = min(SEEDS, sure)
+    need = min(most, sure)
     return size - 1 - sure + need, need
 
 
@@ -118,13 +97,7 @@ class Items:
         self.own = [np.unique(w) for w in self.words]
 
     def ids(self, text: str) -> np.ndarray:
-        found, at = [], 0
-        while at < len(text) or not found:
-            cut = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
-            end = cut.start() if cut else len(text)
-            found.append(np.fromiter(map(self.vocab.get, words(text[at:end]), repeat(0)), np.int64))
-            at = max(end, at + 1)
-        return np.concatenate(found)
+        return np.concatenate([np.fromiter(map(self.vocab.get, words(x), repeat(0)), np.int64) for x in blocks(text)])
 
     def stretches(self, n: int, ids: np.ndarray) -> list[np.ndarray]:
         """Parts of a document's words outside of which item n has no alignment that is a leak.
@@ -193,6 +166,8 @@ def _whole(batch: list[tuple[list[str], str]]) -> list[tuple[float, bool]]:
 def _items(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words, units): distinct items that have words; each unit as (size, choose, need, seeds)."""
 
+    most = SEEDS
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = pa.struct([("n", pa.int32()), ("choose", pa.int32()), ("need", pa.int32()), ("seeds", pa.list_(pa.int64()))])
         for part in parts:
@@ -204,7 +179,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 seeds = signed(pair(h[:-1], h[1:]) if len(h) > 1 else alone(h))
                 ids.append(i)
                 found.append(ws)
-                own = [(n, *enough(e - s), seeds[s : max(e - 1, s + 1)]) for n, (s, e) in enumerate(units(len(ws)))]
+                own = [(n, *enough(e - s, most), seeds[s : max(e - 1, s + 1)]) for n, (s, e) in enumerate(units(len(ws)))]
                 all_units.append([dict(zip(("n", "choose", "need", "seeds"), x, strict=True)) for x in own])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(all_units, pa.list_(unit))], ["item_id", "words", "units"])
 
@@ -261,6 +236,11 @@ def _chosen(items: DataFrame, held: DataFrame) -> DataFrame:
     return ranked.where("before < choose and texts > 0").select("seed", "item", "n", "w", "need")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys of texts, which are broadcast if there are at most SMALL of them; else the texts are shuffled."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(t1, t2, item_id, score, n_seeds): items that each distinct text holds."""
     ready(docs.sparkSession)
@@ -272,7 +252,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = held.select("t1", "t2", F.explode("seeds").alias("seed")).join(chosen, "seed")
     near = hits.groupBy("t1", "t2", "item", "n", "need").agg(F.sum("w").alias("w"), F.count("*").alias("n_seeds")).where("w >= need")
     near = near.groupBy("t1", "t2", "item").agg(F.max("n_seeds").cast("int").alias("n_seeds")).checkpoint()
-    whole = docs.select(*text_key(F.col("text")), "text").join(near.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    keys = _small(near.select("t1", "t2").distinct().checkpoint())
+    whole = docs.select(*text_key(F.col("text")), "text").join(keys, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     pairs = near.join(items.select("item", "item_id", "words"), "item").join(whole, ["t1", "t2"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +286,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null doc_ids stay null. Long texts are read whole, their words a block at a time. Other columns are
     not read. Without items or documents the result is empty.
     """
-    found = _found(docs, benchmark)
+    found = _found(docs, benchmark).checkpoint()
     rows = docs.select(F.col("doc_id").cast("long"), *text_key(F.col("text")))
-    return rows.join(found, ["t1", "t2"]).select("doc_id", "item_id", "score", "n_seeds")
+    return rows.join(_small(found), ["t1", "t2"]).select("doc_id", "item_id", "score", "n_seeds")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -315,6 +296,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts hold nothing and stay, as do null doc_ids; equal texts stay or go together.
     """
-    gone = _found(docs, benchmark).select("t1", "t2").distinct()
+    gone = _small(_found(docs, benchmark).select("t1", "t2").distinct().checkpoint())
     t1, t2 = text_key(docs["text"])
     return docs.join(gone, (t1 == gone["t1"]) & (t2 == gone["t2"]), "left_anti")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from advisium.llm import decontam
+from advisium.llm import common, decontam
 
 
 def test_edited_copies(spark):
@@ -53,7 +53,7 @@ def test_long_texts_in_blocks(monkeypatch):
     text = " ".join(f"Wörd{k % 50}aΣ" for k in range(900)) + " "
     whole = decontam.hashes(text)
     ids = decontam.Items([(1, ["wörd7aς", "wörd8aς"])]).ids(text)
-    monkeypatch.setattr(decontam, "BLOCK", 50)
+    monkeypatch.setattr(common, "BLOCK", 50)
     assert (decontam.hashes(text) == whole).all() and len(whole) == 900 and len(decontam.hashes("")) == len(decontam.hashes(" \n ")) == 0
     assert (decontam.Items([(1, ["wörd7aς", "wörd8aς"])]).ids(text) == ids).all() and (ids > 0).sum() == 36
 
