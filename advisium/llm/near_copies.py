@@ -1,38 +1,58 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
-
-Texts link if the similarity of their shingle sets is 0.8 or more. No link is lost: in any one order
-of all shingles, two such sets of n shingles share one among the first n - ceil(0.8 n) + 1 of both
-(prefix filter). The order is by how often a shingle stands in a sample of the documents, then by
-hash, so common lines come last; the sample decides what is compared, never what links. Of the sets
-that share a shingle of their prefixes, in order of size, each is tied to the one before it if
-0.8 of its size is reached, so a shingle makes fewer rows than it has texts. The components of these
-ties hold every link; each is then checked on whole sets by one task.
+"""Near copies by SimHash anchors, a prefix filter, and the exact Jaccard similarity of five-word shingles.
+
+Texts link if the similarity of their shingle sets is 0.8 or more. Candidates come in two ways. The
+anchors of simhash.py tie fingerprints of five-word shingles within two bits, which are the closest
+copies. At similarity 0.8 fingerprints differ in about ten bits, which no covering code reaches with
+few anchors; so a prefix filter ties all others, and no link is lost: in any one order of all shingles
+two such sets of n shingles share one among the first n - ceil(0.8 n) + 1 of both. The order is by how
+often a shingle stands in all documents, as a sketch of SKETCH counters tells, so common passages come
+last; the sketch decides what is compared, never what links. Of the sets that share a shingle of their
+prefixes, in order of size, each is tied to the one before it if 0.8 of its size is reached, so a
+shingle makes fewer rows than it has texts.
+
+The components of these ties hold every link. Each is checked on whole sets: in one task if it has at
+most WEIGHT shingles, else in pairs of blocks of about that many, so a task's memory has a bound and a
+group of any size is checked whole. Of the links that a task finds it returns a tree.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advisium.llm.common import ready, signed, texts
+from advisium.llm import simhash
+from advisium.llm.common import blocks, ready, signed, texts, word_hashes
 from advisium.llm.components import components
-from advisium.llm.simhash import shingle_hashes
 
 #: Similarity as a fraction: whole numbers have no rounding.
 SHINGLE, OVER, UNDER = 5, 4, 5
-#: Documents that the order of shingles is made of, shingles that it knows, and in how many documents those are.
-SAMPLE, COMMON, OFTEN = 60_000, 400_000, 3
+#: Counters of the sketch, as a power of two (8 MB), and how many of them a row holds.
+SKETCH, ROW = 20, 12
+#: Shingles that a block of a component has at most, or one text if it has more.
+WEIGHT = 4_000_000
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of a text's shingles, sorted."""
-    return np.unique(shingle_hashes(text, SHINGLE))
+    """Distinct hashes of a text's shingles, sorted; words as in simhash, and fewer than five are one shingle."""
+    h = word_hashes(x.encode().lower().split() for x in blocks(text))
+    if not len(h):
+        return h
+    width = min(SHINGLE, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = (out ^ h[k : len(h) - width + 1 + k]) * _M1
+        out ^= out >> np.uint64(32)
+    out *= _M2
+    return np.unique(out ^ (out >> np.uint64(29)))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -47,45 +67,89 @@ def prefix(found: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, rank))[: len(found) - least + 1]]
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample of the documents, sorted, and their counts."""
+def _sketch(docs: DataFrame) -> np.ndarray:
+    """How many shingle sets of all documents have a shingle, summed for shingles of equal first bits."""
+    low, width = np.uint64(64 - SKETCH), 1 << min(ROW, SKETCH)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SKETCH, np.int64)
+        for part in parts:
+            found = [shingles(t) for t in texts(part)]
+            seen += np.bincount((np.concatenate(found) >> low).astype(np.int64) if found else [], minlength=1 << SKETCH).astype(np.int64)
+        rows = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(seen.reshape(-1, width)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["k", "data"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([*map(shingles, texts(part)), np.empty(0, np.uint64)])))], ["k"])
+            for k, data in zip(part.column("k").to_pylist(), part.column("data").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "data"])
 
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "k long")
-    rows = some.groupBy("k").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "k").limit(COMMON).collect()
-    keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    at = np.argsort(keys)
-    return keys[at], np.array([r[1] for r in rows], np.int64)[at]
+    schema = "k int, data binary"
+    out = np.zeros(((1 << SKETCH) // width, width), np.int64)
+    for k, data in docs.select("text").mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
+        out[k] = np.frombuffer(data, np.int64)
+    return out.ravel()
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, h, n, keys): t a hash of the text, h and n of the shingle set, keys its prefix."""
-    keys, counts = _common(docs)
+    """(doc_id, t, h, n, fp, keys): t a hash of the text, h and n of the shingle set, fp its fingerprint, keys its prefix."""
+    sent, low = docs.sparkSession.sparkContext.broadcast(_sketch(docs)), np.uint64(64 - SKETCH)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            hashes, sizes, firsts = [], [], []
+            hashes, sizes, fps, firsts = [], [], [], []
             for text in texts(part):
                 found = shingles(text)
-                rank = np.zeros(len(found), np.int64)
-                if len(keys):
-                    k = np.searchsorted(keys, found).clip(max=len(keys) - 1)
-                    rank = np.where(keys[k] == found, counts[k], 0)
                 hashes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(len(found))
-                firsts.append(signed(prefix(found, rank)))
-            cols = [part.column("doc_id"), part.column("t"), pa.array(signed(np.array(hashes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "h", "n", "keys"])
+                fps.append(simhash.majority(found))
+                firsts.append(signed(prefix(found, sent.value[(found >> low).astype(np.int64)])))
+            long = lambda x: pa.array(signed(np.array(x, np.uint64)))
+            cols = [part.column("doc_id"), part.column("t"), long(hashes), pa.array(sizes, pa.int32()), long(fps), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "h", "n", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, h long, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, h long, n int, fp long, keys array<long>")
+
+
+def _ties(rows: DataFrame) -> DataFrame:
+    """(a, b) of sets that follow each other among those of a key, by size: rows(key, n, h).
+
+    Rows are sorted over all partitions, so a key that many sets have is many tasks' work. A task does
+    not see the row before its first: the first and last row of each partition meet on the driver.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, border = TaskContext.get().partitionId(), None, []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            now = [part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "h")]
+            if last is None:
+                border.append((1, *(int(x[0]) for x in now)))
+                last = [x[:0] for x in now]
+            key, n, h = (np.concatenate(x) for x in zip(last, now, strict=True))
+            last = [x[-1:] for x in now]
+            on = (key[1:] == key[:-1]) & (h[1:] != h[:-1]) & (n[:-1].astype(np.int64) * UNDER >= n[1:].astype(np.int64) * OVER)
+            pairs = np.unique(np.stack([h[1:][on], h[:-1][on]]), axis=1)
+            none = np.zeros(pairs.shape[1], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, *pairs), kinds, strict=True)], names)
+        if last is not None:
+            border.append((2, *(int(x[0]) for x in last)))
+        for kind, key, n, h in border:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, at, key, n, h, 0), kinds, strict=True)], names)
+
+    names, kinds = ["kind", "at", "key", "n", "a", "b"], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    # cut, so that borders and ties are of one run
+    found = rows.repartitionByRange("key", "n", "h").sortWithinPartitions("key", "n", "h").mapInArrow(run, "kind int, at int, key long, n int, a long, b long").checkpoint()
+    edge = sorted((r.at, r.kind, r.key, r.n, r.a) for r in found.where("kind > 0").collect())
+    met = [(y[4], x[4]) for x, y in zip(edge, edge[1:], strict=False) if x[1] == 2 and x[2] == y[2] and x[4] != y[4] and x[3] * UNDER >= y[3] * OVER]
+    return found.where("kind = 0").select("a", "b").union(rows.sparkSession.createDataFrame(met, "a long, b long")).distinct()
 
 
 def groups(found: dict[int, np.ndarray]) -> dict[int, int]:
-    """The least hash that links lead to, for each set of a component."""
+    """The least hash that links lead to, for each of some sets."""
     order = sorted(found, key=lambda h: (len(found[h]), h))
     table, counts = np.unique(np.concatenate([found[h] for h in order]), return_counts=True)
     root = {h: h for h in order}
@@ -120,27 +184,46 @@ def groups(found: dict[int, np.ndarray]) -> dict[int, int]:
     return {h: top(h) for h in order}
 
 
-def _verified(rows: DataFrame) -> DataFrame:
-    """(h, final) of rows (root, h, text): links of each root's sets, checked."""
+def _links(rows: DataFrame) -> DataFrame:
+    """(a, b): the checked links of each unit's sets, as trees; rows(root, i, j, h, text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                done = groups(held)
-                yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.int64())], ["h", "final"])
+            tied = [(h, r) for h, r in groups(held).items() if h != r] if len(held) > 1 else []
+            if tied:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*tied, strict=True)], ["a", "b"])
 
         for part in parts:
-            for root, h, text in zip(part.column("root").to_pylist(), part.column("h").to_pylist(), texts(part), strict=True):
-                if root != at:
+            units = zip(*(part.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
+            for unit, h, text in zip(units, part.column("h").to_pylist(), texts(part), strict=True):
+                if unit != at:
                     yield from out()
-                    at, held = root, {}
+                    at, held = unit, {}
                 if h not in held:
                     held[h] = shingles(text)
         yield from out()
 
-    return rows.repartition("root").sortWithinPartitions("root").mapInArrow(run, "h long, final long")
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _units(sets: DataFrame) -> DataFrame:
+    """rows(root, h, n, ...) with i and j: the pair of blocks that a row is checked in, each pair of them once."""
+    m = F.greatest(F.lit(1), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    weights = sets.groupBy("root").agg(F.sum("n").alias("weight")).select("root", m.alias("m")).checkpoint()
+    own = F.pmod(F.xxhash64("h"), F.col("m")).cast("int")
+    spread = sets.join(weights, "root").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return spread.withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")})
+
+
+def _anchored(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets whose fingerprints SimHash anchors tie, or that share one; sets(h, fp)."""
+    least = sets.groupBy("fp").agg(F.min("h").alias("rep")).checkpoint()
+    links = simhash.links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(x), F.col("rep").alias(f"h_{x}")) for x in ("a", "b")]
+    tied = links.join(ends[0], "a").join(ends[1], "b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    return tied.union(sets.join(least, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -148,27 +231,29 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Texts are words as in simhash, in any white space and ASCII case; those of under five words are one
     shingle, and null and empty ones are copies of each other. A doc_id on rows of several groups is
-    looked at by row, so each group keeps one. Rows with a null doc_id have no group and stay.
+    looked at by row, so each group keeps one. Rows with a null doc_id have no group and stay. Long
+    texts are whole sets: 8 bytes a word. An empty table stays empty; other columns, whatever their
+    names, are kept and not read. Sets are told apart by 64 bits: of n sets two agree by chance with
+    probability n^2 / 2^65.
     """
     ready(docs.sparkSession)
-    named = docs.where("doc_id is not null")
+    named = docs.where("doc_id is not null").select("doc_id", "text")
     marked = _marked(named).checkpoint()
-    by_key = Window.partitionBy("key").orderBy("n", "h")
-    rows = marked.select("h", "n", F.explode("keys").alias("key")).repartition("key").distinct()
-    rows = rows.select("h", "n", F.lag("h").over(by_key).alias("h2"), F.lag("n").over(by_key).alias("n2"))
-    ties = rows.where(f"h2 <> h and n2 * {UNDER} >= n * {OVER}").select(F.col("h").alias("a"), F.col("h2").alias("b"))
-    roots = components(ties).select(F.col("node").alias("h"), "root")
-
-    firsts = marked.groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("first")).checkpoint()
-    close = firsts.join(roots, "h").select("root", "h", F.col("first.doc_id").alias("d"), F.col("first.t").alias("t"))
-    whole = named.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
-    final = _verified(close.join(whole, ["d", "t"]).select("root", "h", "text")).checkpoint()
-
-    firsts = firsts.join(final, "h", "left").withColumn("final", F.coalesce("final", "h"))
-    least = firsts.groupBy("final").agg(F.min("first").alias("kept"))
-    kept = firsts.join(least, "final").select("h", "kept")
-    gone = marked.join(kept, "h").where(F.struct("doc_id", "t") != F.col("kept")).select(F.col("doc_id").alias("d"), "t").distinct()
-    left = docs.join(gone, (docs["doc_id"] == gone["d"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left_anti")
+    sets = marked.select("h", "n", "fp", "keys").dropDuplicates(["h"]).checkpoint()
+    ties = _ties(sets.select(F.explode("keys").alias("key"), "n", "h")).union(_anchored(sets.select("h", "fp")))
+    roots = components(ties).select(F.col("node").alias("h"), "root").checkpoint()
+
+    least = marked.groupBy("h").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    firsts = marked.select("h", "n", "doc_id", "t").join(least, ["h", "doc_id"]).groupBy("h", "n", "doc_id").agg(F.min("t").alias("t")).checkpoint()
+    close = _units(firsts.join(roots, "h")).select("root", "i", "j", "h", F.col("doc_id").alias("d"), "t")
+    whole = named.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text").dropDuplicates(["d", "t"])
+    final = components(_links(close.join(whole, ["d", "t"]).select("root", "i", "j", "h", "text"))).select(F.col("node").alias("h"), F.col("root").alias("final"))
+
+    firsts = firsts.join(final, "h", "left").select("h", F.coalesce("final", "h").alias("final"), F.struct("doc_id", "t").alias("first")).checkpoint()
+    kept = firsts.groupBy("final").agg(F.min("first").alias("kept")).checkpoint()
+    kept = firsts.join(kept, "final").select("h", "kept").checkpoint()
+    gone = marked.select("h", "doc_id", "t").join(kept, "h").where(F.struct("doc_id", "t") != F.col("kept")).select(F.col("doc_id").alias("d"), "t").distinct()
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["d"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left_anti")
     if marked.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))

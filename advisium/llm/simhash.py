@@ -43,7 +43,11 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text; 0 for one without words."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of some hashes have."""
     if not len(h):
         return 0
     at = h.astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE_AT

@@ -59,7 +59,7 @@ def test_stage_takes_copies_of_four_fifths(spark):
 
 def test_order_is_only_for_speed(spark, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(near_copies, "OFTEN", 10**9)
+    monkeypatch.setattr(near_copies, "SKETCH", 1)
     got = sorted(r.doc_id for r in near_copies.deduplicate(frame(spark, rows)).collect())
     assert got == sorted(set(brute(rows)))
 
@@ -70,3 +70,34 @@ def test_rows_not_ids(spark):
     got = sorted((r.doc_id or 0, r.text) for r in near_copies.deduplicate(frame(spark, rows)).collect())
     assert got == [(0, one), (0, one), (1, one), (2, two)]
     assert near_copies.deduplicate(frame(spark, [])).count() == 0
+
+
+def test_large_components_in_blocks(spark, monkeypatch):
+    """A group of copies of one text, edited apart, that is far over a block's weight."""
+    monkeypatch.setattr(near_copies, "WEIGHT", 900)
+    r = np.random.default_rng(9)
+    text = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(text)
+        for k in r.choice(120, int(r.integers(0, 5)), replace=False):
+            words[k] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    sets = spark.createDataFrame([(h, 100, 1) for h in range(50)], "h long, n int, root long")
+    units = [(x.i, x.j, x.h) for x in near_copies._units(sets).collect()]
+    together = {(a, b) for i, j, a in units for k, m, b in units if (i, j) == (k, m)}
+    assert len(together) == 50 * 50 and max(sum(u[:2] == (i, j) for u in units) for i, j, _ in units) < 40
+    rows += [(100 + i, t) for i, t in corpus()]
+    got = sorted(x.doc_id for x in near_copies.deduplicate(frame(spark, rows)).collect())
+    assert got == sorted(set(brute(rows)))
+
+
+def test_ties_over_partitions(spark):
+    """Neighbours of a key are tied wherever partitions end."""
+    rows = spark.createDataFrame([(7, 10 + h // 100, h) for h in range(300)] + [(8, 1, 1), (8, 9, 2), (9, 5, 3)], "key long, n int, h long").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        got = {(x.a, x.b) for x in near_copies._ties(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert got == {(h + 1, h) for h in range(299)}

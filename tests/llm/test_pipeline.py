@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from advisium.llm import decontam, pii, quality_cnn, sentencepiece_ac, simhash
+from advisium.llm import decontam, pii, quality_cnn, sentencepiece_ac
 from advisium.llm.common import documents, ready
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,11 +43,16 @@ def test_quality(spark, sf, stages):
 
 
 def test_near_dedup(stages):
+    """All pairs of shingle sets: five words, similarity of 0.8 or more."""
     before, after = stages[1], stages[2]
-    fps = {int(i): simhash.fingerprint(t or "") for i, t in zip(before.doc_id, before.text, strict=True)}
-    label = {i: i for i in fps}
-    ids = sorted(fps)
-    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2]
+    sets = {}
+    for i, t in zip(before.doc_id, before.text.fillna(""), strict=True):
+        words = t.lower().split() if t.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+        words = [w.encode() if isinstance(w, str) else w for w in words]
+        sets[int(i)] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 4 * len(sets[a]) <= 5 * len(sets[b]) and 4 * len(sets[b]) <= 5 * len(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     changed = True
     while changed:
         changed = False
