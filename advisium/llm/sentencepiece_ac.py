@@ -1,16 +1,24 @@
 """SentencePiece encoding by an Aho-Corasick automaton that drives a single-pass Viterbi.
 
 The automaton holds the UTF-8 bytes of all pieces of a model. A text is read once; at each byte the
-state's output links list the pieces that end there, and each relaxes the best score of its end. Of
-equal scores the longer last piece wins. Characters that no piece covers become byte pieces, at a
-score under all others. New words of a batch of texts go through the automaton side by side, a byte
-of each at a time. Pieces hold the space mark only in front, and no line break, so the best path of
-a text is that of its words, each with the space or break before it; a worker keeps the paths of
-words it has seen.
+state's output links list the pieces that end there, and each relaxes the best score of its end.
+
+* In a unigram model a path scores the sum of its pieces. Of equal scores the longer last piece wins.
+* In a model of merges (BPE) scores only say which merge comes first, so their sum means nothing. What
+  merging leaves of a text is the one path on which every two neighbours stand: merging their joined
+  text leaves just these two. So a step scores 0 if it stands with the best piece before it, and is
+  none otherwise, and of the pieces that end at a place exactly one is relaxed. Whether two pieces
+  stand is found by merging them once, and kept.
+
+Characters that no piece covers become byte pieces, at a score under all others. New words of a batch
+of texts go through the automaton side by side, a byte of each at a time. Pieces hold the space mark
+only in front, and no line break, so the path of a text is that of its words, each with the spaces or
+break before it; a worker keeps the paths of words it has seen.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from sentencepiece import SentencePieceProcessor
+from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
 from advisium.llm.common import ready, texts
 
@@ -30,6 +38,7 @@ CACHE = 600_000
 UNKNOWN = 10.0
 #: Bytes of words that go through the automaton side by side, padding included.
 CELLS = 1 << 19
+_WORD = re.compile("\n[^ \n]*| +[^ \n]*")
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -74,10 +83,10 @@ class Automaton:
                 up, c, down = np.array(levels[depth + 1]).T
                 self.go[up, c] = down
 
-    def best(self, words: np.ndarray, sizes: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, words: np.ndarray, sizes: np.ndarray, unknown: float, merges: Merges | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each word and each of its ends the size and id of the best last piece; -1 is a character without one.
 
-        words: bytes, a row each, padded with zeros.
+        words: bytes, a row each, padded with zeros. With merges the steps that stand are the only ones.
         """
         n, longest = words.shape
         rows = np.arange(n)
@@ -97,22 +106,26 @@ class Automaton:
             at = at[some]
             while len(some):
                 size = self.size[at]
-                value = score[some, end - size] + self.score[at]
-                better = value > top[some]
+                if merges is not None:
+                    better = whole[some] & merges.stand(piece[some, end - size], self.piece[at])
+                    value = np.zeros(len(some))
+                else:
+                    value = score[some, end - size] + self.score[at]
+                    better = value > top[some]
                 won = some[better]
                 top[won], took[won], which[won] = value[better], size[better], self.piece[at[better]]
                 at = self.next[at]
-                more = at > 0
+                more = (at > 0) & ~better if merges is not None else at > 0
                 some, at = some[more], at[more]
             score[:, end], last[:, end], piece[:, end] = top, took, which
         return last, piece
 
-    def paths(self, words: list[bytes], unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def paths(self, words: list[bytes], unknown: float, merges: Merges | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best paths of words of about one length: pieces and their sizes in bytes, joined, and where each word's begin."""
         sizes = np.array([len(w) for w in words])
         longest = int(sizes.max())
         table = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(-1, longest)
-        last, piece = self.best(table, sizes, unknown)
+        last, piece = self.best(table, sizes, unknown, merges)
         ids, took = [], []
         at, rows = sizes.copy(), np.arange(len(words))
         while at.any():
@@ -125,6 +138,38 @@ class Automaton:
         return ids[real], took[real], np.concatenate([[0], np.cumsum(real.sum(axis=1))])
 
 
+class Merges(dict):
+    """Which pieces stand behind which, by their numbers; of pairs that were asked for."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.order = {p: -score for p, (_, score) in pieces.items()}
+        self.text = {i: p for p, (i, _) in pieces.items()}
+        self.wide = max(self.text) + 2
+
+    def left(self, text: str) -> list[str]:
+        """What merging leaves of a text: the pair of the first order is merged, of equals the leftmost."""
+        parts = list(text)
+        while len(parts) > 1:
+            orders = [self.order.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            k = min(range(len(orders)), key=orders.__getitem__)
+            if orders[k] == np.inf:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= CACHE:
+            self.clear()
+        before, after = divmod(key, self.wide)
+        pair = [self.text[x] for x in (before - 1, after) if x >= 0]
+        out = self[key] = self.left("".join(pair)) == pair
+        return out
+
+    def stand(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """before: -1 is the start of a word, or a character without a piece, which nothing merges with."""
+        return np.fromiter(map(self.__getitem__, ((before + 1) * self.wide + after).tolist()), bool, len(after))
+
+
 class Pieces:
     """A model file's pieces, with encoding and decoding."""
 
@@ -136,6 +181,8 @@ class Pieces:
         plain = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
         self.fallback = self.unk not in self.bytes_at
         self.automaton = Automaton(plain)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+        self.merges = Merges(plain) if spec.model_type == spec.BPE else None
         self.unknown = min(score for _, score in plain.values()) - UNKNOWN
         #: Whether words can be encoded on their own.
         self.parted = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain)
@@ -165,7 +212,7 @@ class Pieces:
             end = k + 1
             while end < len(order) and (end - k + 1) * len(data[order[end]]) <= CELLS:
                 end += 1
-            ids, took, starts = self.automaton.paths([data[i] for i in order[k:end]], self.unknown)
+            ids, took, starts = self.automaton.paths([data[i] for i in order[k:end]], self.unknown, self.merges)
             odd = np.flatnonzero(ids < 0)
             if len(odd):
                 ids, starts = self._fallback(ids, took, starts, b"".join(data[i] for i in order[k:end]))
@@ -198,7 +245,7 @@ class Pieces:
                 fresh.append(w)
             else:
                 self.words[w] = ids
-        self.words.update(zip(fresh, self.encode_words([w if w[0] == "\n" else " " + w for w in fresh]), strict=True))
+        self.words.update(zip(fresh, self.encode_words([w if w[:1] == "\n" else " " + w for w in fresh]), strict=True))
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers; a space is put before a text that is not empty."""
@@ -206,11 +253,14 @@ class Pieces:
         late, whole, new = [], [], {}
         get = self.words.get
         for i, text in enumerate(found):
-            ws = text.replace("\n", " \n").split(" ")
-            if "" in ws or not self.parted or SPACE in text:  # empty texts, and spaces beside spaces
-                if text:
-                    whole.append(i)
+            if not text:
                 continue
+            if not self.parted:
+                whole.append(i)
+                continue
+            ws = text.replace("\n", " \n").split(" ")
+            if "" in ws or SPACE in text:  # spaces beside spaces stay with the word behind them
+                ws = [w.removeprefix(" ") for w in _WORD.findall(" " + text.replace(SPACE, " "))]
             parts = list(map(get, ws))
             k, holes = -1, []
             for _ in range(parts.count(None)):

@@ -11,13 +11,18 @@ The ord columns are the order of input, which settles ties. Blank text stands fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from advisium.functions import keys, versions
+from advisium.session import cut
 
+#: Distinct texts that are broadcast with what is derived of them; more are joined by a shuffle.
+FEW = 200_000
 #: Tables of another layout are not read.
 LAYOUT = 1
 TABLES = ("advisories", "leaves", "vulns")
@@ -125,12 +130,30 @@ def status_gate(vulns: DataFrame) -> DataFrame:
     return flags.select("advisory_id", "product_id", (~clear).alias("keep"), note.alias("gate_note"))
 
 
+def by_text(rows: DataFrame, texts: list[str], derived: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what derived adds to the columns texts, made once for each distinct value of them.
+
+    Products and version texts repeat, and patterns are what a key costs. Null texts are blank.
+    """
+    own = [F.coalesce(t, F.lit("")).alias(t) for t in texts]
+    made = derived(rows.select(*own).distinct())
+    new = [c for c in made.columns if c not in texts]
+    table = cut(made.select(*(F.col(t).alias(f"text_{k}") for k, t in enumerate(texts)), *new))
+    on = reduce(Column.__and__, (F.coalesce(rows[t], F.lit("")) == F.col(f"text_{k}") for k, t in enumerate(texts)))
+    return rows.join(F.broadcast(table) if table.count() <= FEW else table, on).select(*(rows[c] for c in rows.columns), *new)
+
+
+def with_ranges(rows: DataFrame) -> DataFrame:
+    """rows with the range of version_text as rng."""
+    return by_text(rows, ["version_text"], lambda d: d.withColumn("rng", versions.parse_range("version_text")))
+
+
 def keyed_leaves(corpus: Corpus, aliases: dict[str, str] | None = None) -> DataFrame:
     """Leaves with adv_ord, vendor_key, key, rng, idents, cpe_key, keep and gate_note."""
-    out = corpus.leaves.withColumn("vendor_key", keys.vendor_key("vendor", aliases))
-    out = out.withColumn("key", keys.product_key("product_name", F.col("vendor_key"), aliases))
+    vendors = lambda d: d.withColumn("vendor_key", keys.vendor_key("vendor", aliases))
+    products = lambda d: vendors(d).withColumn("key", keys.product_key("product_name", F.col("vendor_key"), aliases))
+    out = with_ranges(by_text(corpus.leaves, ["vendor", "product_name"], products))
     out = out.withColumns({
-        "rng": versions.parse_range("version_text"),
         "idents": F.filter(F.array_distinct(F.transform(F.concat("skus", "model_numbers"), keys.ident_key)), lambda x: x != ""),
         "cpe_key": keys.cpe_key("cpe"),
     })

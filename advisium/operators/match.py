@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from advisium.functions import keys, similarity, versions
 from advisium.functions.expr import quoted
-from advisium.operators.corpus import Corpus, keyed_assets, keyed_leaves, scores
+from advisium.operators.corpus import Corpus, keyed_assets, keyed_leaves, scores, with_ranges
 from advisium.session import cut, ship
 
 FUZZY_THRESHOLD = 0.82
@@ -34,8 +34,9 @@ WEAK_CONFIDENCE, UNREAD_CONFIDENCE, UNREAD_IDENT_CONFIDENCE = 0.45, 0.50, 0.70
 #: What a candidate's reason is called, by the number that its rank holds.
 REASONS = ("decided", "ident", "cpe", "product", "weak", "similar", "vendor", "rejected", "confirmed")
 VERDICTS = ("AFFECTED", "REVIEW", "MANUAL", "UNKNOWN", "NOT_AFFECTED")
-#: Bits of a rank from its top: what decides first, then what is only carried.
-_FIELDS = (("cleared", 1), ("tier", 3), ("doubt", 10), ("stage", 3), ("prod_ord", 24), ("reason", 4), ("verdict", 3), ("in_range", 2), ("ratio", 13))
+#: Bits of a rank from its top, and of what is carried with it.
+_RANK = (("cleared", 1), ("tier", 3), ("doubt", 10), ("stage", 3), ("prod_ord", 46))
+_CARRIED = (("reason", 4), ("verdict", 3), ("in_range", 2))
 _ROW = ("asset_ord", "adv_ord", "prod_ord", "stage", "tier", "verdict", "confidence", "reason", "in_range", "ratio")
 
 
@@ -185,32 +186,41 @@ def _number(names: tuple[str, ...], x: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, names)), x) - 1
 
 
-def _rank() -> Column:
-    """A candidate as one number: the least of an asset and advisory is the best."""
-    c = F.col
-    parts = {
-        "cleared": (c("verdict") == "NOT_AFFECTED").cast("long"), "tier": c("tier").cast("long"), "doubt": (1000 - F.round(c("confidence") * 1000)).cast("long"), "stage": c("stage").cast("long"), "prod_ord": c("prod_ord"),
-        "reason": _number(REASONS, c("reason")), "verdict": _number(VERDICTS, c("verdict")), "in_range": F.when(c("in_range"), 1).when(~c("in_range"), 0).otherwise(2).cast("long"), "ratio": F.round(F.coalesce("ratio", F.lit(0.0)) * 8000).cast("long"),
-    }
+def _packed(fields: tuple[tuple[str, int], ...], parts: dict[str, Column]) -> Column:
     out = F.lit(0).cast("long")
-    for name, bits in _FIELDS:
+    for name, bits in fields:
         out = F.shiftleft(out, bits).bitwiseOR(parts[name])
-    # an advisory of more products than its bits number would be ranked wrongly
-    return F.when(c("prod_ord").between(0, (1 << 24) - 1), out).otherwise(F.raise_error(F.lit("prod_ord is no place in an advisory")).cast("long"))
+    return out
 
 
-def best(found: DataFrame) -> DataFrame:
-    """The best candidate of each asset and advisory; a cleared leaf hides no other."""
-    top = found.select("asset_ord", "adv_ord", _rank().alias("rank")).groupBy("asset_ord", "adv_ord").agg(F.min("rank").alias("rank"))
+def _unpacked(fields: tuple[tuple[str, int], ...], number: str) -> dict[str, Column]:
     parts, low = {}, 0
-    for name, bits in reversed(_FIELDS):
-        parts[name] = F.shiftright("rank", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    for name, bits in reversed(fields):
+        parts[name] = F.shiftright(number, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
         low += bits
+    return parts
+
+
+def best(found: DataFrame) -> DataFrame:
+    """The best candidate of each asset and advisory; a cleared leaf hides no other.
+
+    What decides is one long number, and what is only told of the best another, so that the
+    aggregate is a hash aggregate of numbers with partial results.
+    """
+    c = F.col
+    parts = {
+        "cleared": (c("verdict") == "NOT_AFFECTED").cast("long"), "tier": c("tier").cast("long"), "doubt": (1000 - F.round(c("confidence") * 1000)).cast("long"), "stage": c("stage").cast("long"), "prod_ord": c("prod_ord"),
+        "reason": _number(REASONS, c("reason")), "verdict": _number(VERDICTS, c("verdict")), "in_range": F.when(c("in_range"), 1).when(~c("in_range"), 0).otherwise(2).cast("long"),
+    }
+    # an order that its bits can't hold would be ranked wrongly
+    rank = F.when(c("prod_ord").between(0, (1 << 46) - 1), _packed(_RANK, parts)).otherwise(F.raise_error(F.lit("prod_ord is no place of a product")).cast("long"))
+    rows = found.select("asset_ord", "adv_ord", rank.alias("rank"), _packed(_CARRIED, parts).alias("rest"), "ratio")
+    top = rows.groupBy("asset_ord", "adv_ord").agg(F.min("rank").alias("rank"), F.min_by("rest", "rank").alias("rest"), F.min_by("ratio", "rank").alias("ratio"))
+    parts = _unpacked(_RANK, "rank") | _unpacked(_CARRIED, "rest")
     named = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x + 1).cast("int"))
     return top.select(
         "asset_ord", "adv_ord", parts["prod_ord"].alias("prod_ord"), parts["stage"].cast("int").alias("stage"), parts["tier"].cast("int").alias("tier"), named(VERDICTS, parts["verdict"]).alias("verdict"),
-        ((1000 - parts["doubt"]) / 1000.0).alias("confidence"), named(REASONS, parts["reason"]).alias("reason"), F.when(parts["in_range"] == 1, True).when(parts["in_range"] == 0, False).alias("in_range"),
-        F.when(parts["ratio"] > 0, parts["ratio"] / 8000.0).alias("ratio"),
+        ((1000 - parts["doubt"]) / 1000.0).alias("confidence"), named(REASONS, parts["reason"]).alias("reason"), F.when(parts["in_range"] == 1, True).when(parts["in_range"] == 0, False).alias("in_range"), "ratio",
     )
 
 
@@ -285,7 +295,8 @@ def match_assets(
         top = top.where("verdict <> 'NOT_AFFECTED'")
     # scores and texts are made for each leaf once, not for each finding
     heads = corpus.advisories.select("advisory_id", "adv_ord", F.col("title").alias("advisory_title"), "tlp")
-    wide = scores(corpus.leaves.drop("adv_ord").join(heads, "advisory_id"), corpus.vulns).withColumn("rng", versions.parse_range("version_text"))
+    wide = scores(corpus.leaves.drop("adv_ord").join(heads, "advisory_id"), corpus.vulns)
+    wide = with_ranges(wide)
     gates = l.select("adv_ord", "prod_ord", "gate_note", F.col("key.full").alias("adv_product_key"))
     out = top.join(a.alias("a"), "asset_ord").join(wide.join(gates, ["adv_ord", "prod_ord"]).alias("l"), ["adv_ord", "prod_ord"])
     if decisions is not None:
