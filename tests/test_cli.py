@@ -53,3 +53,36 @@ def test_eval_and_vex(place, capfd):
     assert command(place, "vex", str(place / "inv" / "east.csv")) == 0
     out = capfd.readouterr().out
     assert json.loads(out[out.index("{\n") :])["statements"]
+
+
+def test_review_and_decide(place, capfd, monkeypatch):
+    """An answer is on file, and the next match goes by it."""
+    (place / "fuzzy.csv").write_text("id,vendor,product,firmware\nF1,Siemans AG Works,S7-1200x,4.0\n")
+    (place / "more.yaml").write_text("vendor_aliases:\n  siemens: [Siemans AG Works]\n")
+    common = ["--corpus", str(place / "c"), "--vendor-aliases", str(place / "more.yaml")]
+    answers = iter("y" * 50)
+    monkeypatch.setattr("builtins.input", lambda *_: next(answers))
+    assert cli.main([*common, "review", str(place / "fuzzy.csv"), "--max-tier", "5", "--analyst", "ann"]) == 0
+    out = capfd.readouterr().out
+    assert "S7-1200x" in out and "CONFIRMED" in out
+    assert command(place, "aliases", "--json") == 0
+    out = capfd.readouterr().out
+    assert {r["asset_product"] for r in json.loads(out[out.index("[\n") :])} == {"S7-1200x"}
+    assert cli.main([*common, "match", str(place / "fuzzy.csv"), "--json"]) == 0
+    out = capfd.readouterr().out
+    row = json.loads(out[out.index("[\n") :])[0]
+    assert row["match_tier"] == 0 and "by ann" in row["match_basis"]
+    assert cli.main([*common, "decide", "siemens", "s71200x", "s71200", "rejected", "--analyst", "bob"]) == 0
+    assert command(place, "aliases", "--json") == 0 and cli.main([*common, "match", str(place / "fuzzy.csv"), "--out", str(place / "lines")]) == 0
+    assert not [x for p in (place / "lines").glob("*.txt") for x in p.read_text().splitlines()]
+    monkeypatch.setattr("builtins.input", lambda *_: (_ for _ in ()).throw(EOFError))
+    assert cli.main([*common, "review", str(place / "fuzzy.csv"), "--max-tier", "5"]) == 0
+    (place / "c" / "decisions.csv").unlink()
+
+
+def test_files(place, tmp_path):
+    assert command(place, "vex", str(place / "inv" / "east.csv"), "--out", str(tmp_path / "v.json")) == 0
+    assert json.loads((tmp_path / "v.json").read_text())["statements"]
+    assert command(place, "coverage", "--source", str(place / "csaf")) == 0
+    assert command(place, "report", str(place / "inv" / "east.csv"), "--out", str(tmp_path), "--client", "plant") == 0
+    assert "plant" in (tmp_path / "plant.md").read_text()
