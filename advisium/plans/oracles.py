@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from advisium.functions import keys, versions
-from advisium.functions.priority import CONTROLLED, EPSS_ACTIVE, OPEN, PROCESS
+from advisium.functions.priority import CODES, CONTROLLED, EPSS_ACTIVE, OPEN, PROCESS
 from advisium.operators.match import CONFIDENCE, FUZZY_THRESHOLD, VERDICT
 from advisium.plans import bridge
 from advisium.plans import fixtures as fx
@@ -238,3 +238,36 @@ sg AS (SELECT asset_ord, advisory_id, coalesce(max(epss), 0.0)::DOUBLE AS epss,
 pt AS (SELECT fs.*, epss, in_kev, b.site, b.purdue_level, CASE WHEN in_kev THEN 'active' WHEN epss >= {EPSS_ACTIVE} THEN 'poc' ELSE 'none' END AS exploitation, {LEVEL("b.purdue_level")} AS exposure,
   {utility("cvss_vector")} AS utility, {impact("cvss", "b.purdue_level", "cvss_vector")} AS impact FROM fs JOIN sg USING (asset_ord, advisory_id) JOIN b_asset b USING (asset_ord)),
 {decided("pt")}"""
+
+
+#: cl(rt, vt0, said): how a range and an asset's version are told.
+SAID = """
+told AS (SELECT rt, string_agg(op || vraw, ' and ' ORDER BY k) AS tells FROM rc GROUP BY rt),
+cl AS (SELECT r.rt, q.vt0, CASE WHEN kind = 'UNPARSEABLE' THEN 'version range ''' || raw || ''' unparseable (' || note || ')' WHEN kind <> 'ALL' AND q.num IS NULL THEN 'asset version ''' || CASE WHEN q.vt0 = '' THEN '(blank)' ELSE q.vt0 END || ''' unparseable'
+  WHEN kind = 'ALL' THEN 'all versions affected' ELSE tells END AS said FROM r CROSS JOIN asked q LEFT JOIN told ON told.rt = r.rt)"""
+_OPEN = "CASE WHEN in_range THEN said ELSE said || '; version unconfirmed' END"
+
+
+def basis(f: str = "f", decided: bool = False) -> str:
+    """How a finding was made, of f joined with a, l and cl (and d, its ruling's text)."""
+    ruled = f"""WHEN stage = 0 AND d.decision = 'REJECTED' THEN 'analyst rejected ''' || d.raw || ''' as ''' || d.raw || ''' by ann on 2024-05-01' WHEN stage = 0 THEN 'analyst-confirmed alias ''' || d.raw || ''' = ''' || d.raw || ''' by ann on 2024-05-01; ' || {_OPEN}""" if decided else ""
+    silent = "stage = 0 AND d.decision = 'REJECTED'" if decided else "false"
+    return f"""CASE {ruled} WHEN stage = 1 THEN 'model/SKU ''' || a.model || ''' matches advisory identifier ''' || l.model_numbers[1] || '''' || CASE WHEN NOT in_range THEN '; asset version ' || a.version || ' is outside ' || said WHEN a.version <> '' THEN '; ' || said ELSE '' END
+  WHEN stage = 2 THEN 'CPE ' || l.cpe || ' matches asset CPE'
+  WHEN stage = 3 AND {f}.tier = 4 THEN 'product ''' || a.product || ''' matches ''' || l.product_name || ''' on a low-entropy key ''' || a.core || '''; ' || said
+  WHEN stage = 3 AND in_range IS NULL THEN 'vendor+product match but ' || said
+  WHEN stage = 3 THEN 'vendor+product match; asset version ' || CASE WHEN a.version = '' THEN '?' ELSE a.version END || ' satisfies ' || said
+  ELSE 'fuzzy product match ''' || a.product || '''~''' || l.product_name || ''' (ratio ' || printf('%.2f', round(ratio::DECIMAL(18, 9), 2)::DOUBLE) || '); ' || {_OPEN} END
+  || CASE WHEN {silent} THEN '' ELSE CASE {f}.note WHEN 'i' THEN '; vendor lists this product as under investigation' WHEN 'n' THEN '; vendor states not affected' WHEN 'f' THEN '; vendor lists this product version as fixed' ELSE '' END END"""
+
+
+_CODES = lambda x: f"map([{', '.join(map(lit, CODES))}], [{', '.join(map(lit, CODES.values()))}])[{x}]"
+#: t22: the fields of a finding, of SCORED.
+TEXTS = f"""{SAID},
+kh AS (SELECT asset_ord, advisory_id, list(cve ORDER BY pos) AS hits FROM (SELECT asset_ord, advisory_id, cve, min(pos) AS pos FROM (SELECT asset_ord, advisory_id, unnest(cves) AS cve, generate_subscripts(cves, 1) AS pos FROM fs) GROUP BY ALL) WHERE cve IN (SELECT cve FROM kev) GROUP BY ALL),
+t22 AS (SELECT dd.asset_id, dd.site, dd.purdue_level, dd.advisory_id, b_adv.title AS advisory_title, b_adv.tlp, array_to_string(cves, ' ') AS cves, cvss, cvss_vector, round(epss, 6) AS epss, in_kev, priority,
+  'SSVCv2/E:' || {_CODES("exploitation")} || '/X:' || {_CODES("exposure")} || '/U:' || {_CODES("utility")} || '/H:' || {_CODES("impact")} || '/D:' || {_CODES("action")} AS ssvc_vector, action AS ssvc_action,
+  CASE exploitation WHEN 'active' THEN 'in CISA KEV (' || array_to_string(hits[1:3], ', ') || ')' WHEN 'poc' THEN 'EPSS ' || printf('%.1f', epss * 100) || '%' ELSE 'no exploitation signal' END || ', ' || CASE WHEN cvss IS NULL THEN 'no CVSS' ELSE 'CVSS ' || printf('%.1f', cvss) END
+    || ', ' || exposure || ' exposure' || CASE WHEN dd.purdue_level <> '' THEN ' at Purdue level ' || dd.purdue_level ELSE '' END || CASE WHEN priority = 'TRACK' THEN ', no vendor patch, compensating controls only' ELSE '' END AS rationale,
+  dd.tier AS match_tier, round(dd.confidence, 6) AS confidence, dd.verdict, {basis("dd")} AS match_basis, l.vendor, l.product_name AS product, trim(l.version_text) AS version_range
+  FROM dd JOIN a ON a.asset_ord = dd.asset_ord JOIN l ON l.adv_ord = dd.adv_ord AND l.prod_ord = dd.prod_ord JOIN b_adv ON b_adv.adv_ord = dd.adv_ord JOIN cl ON cl.rt = l.version_text AND cl.vt0 = a.version LEFT JOIN kh ON kh.asset_ord = dd.asset_ord AND kh.advisory_id = dd.advisory_id)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from advisium.functions.expr import quoted
 from advisium.operators import bench, corpus, enrich, evaluate, feedback, history, match, reports, search
 from advisium.plans import bridge, oracles
 from advisium.plans import fixtures as fx
-from advisium.session import cut
+from advisium.session import cut, shared
 from advisium.sources import csaf, inventory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,13 +219,21 @@ def tier0_alias(spark, sf_dir):
     return _shown(match.gated(match.overridden(match.by_decision(a, l, d), a, l, d)))
 
 
-@query(oracles.found(5) + " SELECT asset_ord, verdict, count(*) AS n, sum(adv_ord)::BIGINT AS advisories, sum(prod_ord)::BIGINT AS products FROM c7 GROUP BY ALL")
+#: A number of a row that no sum of other rows' numbers is likely to make up for.
+_MIXED = "(adv_ord * 31337 + prod_ord * 7919 + asset_ord * 104729 + {}) % 2147483647"
+
+
+def _digest(more: str = "0"):
+    x = F.expr(_MIXED.format(more))
+    return F.sum(x * x % 2147483629).alias("digest")
+
+
+@query(oracles.found(5) + f" SELECT asset_ord, verdict, count(*) AS n, sum(({_MIXED.format(0)}) * ({_MIXED.format(0)}) % 2147483629)::BIGINT AS digest FROM c7 GROUP BY ALL")
 def tier5_vendor(spark, sf_dir):
-    """All pairs, which are millions, summed up for each asset."""
+    """All pairs, which are millions, as a digest of the rows of each asset."""
     a, l = _keyed(spark, sf_dir)  # noqa: E741
     found = cut(match.candidates(a, l, 4))
-    pairs = match.gated(match.by_vendor(a, l, found, None))
-    return pairs.groupBy("asset_ord", "verdict").agg(F.count("*").alias("n"), F.sum("adv_ord").alias("advisories"), F.sum("prod_ord").alias("products"))
+    return match.gated(match.by_vendor(a, l, found, None)).groupBy("asset_ord", "verdict").agg(F.count("*").alias("n"), _digest())
 
 
 @query(f"WITH {oracles.BASE} SELECT advisory_id, product_id, NOT (nota OR fx) AS keep, CASE WHEN inv THEN 'vendor lists this product as under investigation' WHEN nota THEN 'vendor states not affected' WHEN fx THEN 'vendor lists this product version as fixed' ELSE '' END AS gate_note FROM st")
@@ -249,15 +258,14 @@ def match_max_tier(spark, sf_dir):
     return _found(match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 2))
 
 
-@query(f"""{oracles.found(5, True, True)}, {oracles.SCORES} SELECT asset_id, tier, verdict, count(*) AS n, sum(adv_ord)::BIGINT AS advisories, sum(prod_ord)::BIGINT AS products, sum(len(cves))::BIGINT AS cves,
-round(sum(coalesce(cvss, 0)), 3) AS cvss, sum(length(cvss_vector))::BIGINT AS vectors, count(*) FILTER (has_patch) AS patched, round(sum(confidence), 3) AS confidence FROM fs GROUP BY ALL""")
+_MORE = "{0}(cves) * {1}15485863 + CAST(round(coalesce(cvss, 0) * 10) AS BIGINT) * 32452843 + length(cvss_vector) * {1}49979687 + CAST(round(confidence * 1000) AS BIGINT) * 67867967 + CASE WHEN has_patch THEN 86028121 ELSE 0 END"
+
+
+@query(f"""{oracles.found(5, True, True)}, {oracles.SCORES}, x AS (SELECT *, {_MIXED.format(_MORE.format("len", ""))} AS m FROM fs) SELECT asset_id, tier, verdict, count(*) AS n, sum(m * m % 2147483629)::BIGINT AS digest FROM x GROUP BY ALL""")
 def match_not_affected(spark, sf_dir):
-    """All tiers with decisions and cleared pairs, which are millions, summed up for each asset."""
+    """All tiers with decisions and cleared pairs, which are millions, as a digest of the rows of each asset."""
     found = match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 5, bridge.decisions(spark, sf_dir), include_not_affected=True)
-    return found.groupBy("asset_id", "tier", "verdict").agg(
-        F.count("*").alias("n"), F.sum("adv_ord").alias("advisories"), F.sum("prod_ord").alias("products"), F.sum(F.size("cves").cast("long")).alias("cves"), F.round(F.sum(F.coalesce("cvss", F.lit(0.0))), 3).alias("cvss"),
-        F.sum(F.length("cvss_vector").cast("long")).alias("vectors"), F.count_if("has_patch").alias("patched"), F.round(F.sum("confidence"), 3).alias("confidence"),
-    )
+    return found.groupBy("asset_id", "tier", "verdict").agg(F.count("*").alias("n"), _digest(_MORE.format("size", "1L * ")))
 
 
 @query(f"""WITH {oracles.BASE}, k AS (SELECT DISTINCT vk FROM l WHERE vk <> '' AND substr(vk, 1, 5) <> 'maker'), k2 AS (SELECT vk FROM k UNION ALL SELECT 'maker'), u AS (SELECT DISTINCT vk FROM a WHERE vk <> '' AND vk NOT IN (SELECT vk FROM k2))
@@ -307,16 +315,22 @@ def priority_filter(spark, sf_dir):
     return enrich.of_priority(_scored(spark, sf_dir), ["now", " track"]).select("asset_id", "advisory_id", "priority")
 
 
-@query(f"{_SCORED} SELECT dd.asset_id, dd.site, dd.purdue_level, dd.advisory_id, title AS advisory_title, dd.tier AS match_tier, dd.priority, l.vendor, l.product_name AS product, trim(l.version_text) AS version_range FROM dd JOIN l ON l.adv_ord = dd.adv_ord AND l.prod_ord = dd.prod_ord JOIN b_adv ON b_adv.adv_ord = dd.adv_ord")
+def _shown_texts(f: DataFrame) -> DataFrame:
+    return f.withColumns({"cves": F.array_join("cves", " "), "epss": F.round("epss", 6), "confidence": F.round("confidence", 6)})
+
+
+@query(f"{_SCORED}, {oracles.TEXTS} SELECT * FROM t22")
 def json_findings(spark, sf_dir):
-    wanted = "asset_id string, site string, purdue_level string, advisory_id string, advisory_title string, match_tier int, priority string, vendor string, product string, version_range string"
-    return reports.json_lines(_scored(spark, sf_dir)).select(F.from_json("value", wanted).alias("x")).select("x.*")
+    lines = reports.json_lines(_scored(spark, sf_dir))
+    wanted = """asset_id string, site string, purdue_level string, advisory_id string, advisory_title string, tlp string, cves array<string>, cvss double, cvss_vector string, epss double, in_kev boolean, priority string,
+        ssvc_vector string, ssvc_action string, rationale string, match_tier int, confidence double, verdict string, match_basis string, vendor string, product string, version_range string"""
+    return _shown_texts(lines.select(F.from_json("value", wanted).alias("x")).select("x.*"))
 
 
-@query()
+@query(f"{_SCORED}, {oracles.TEXTS} SELECT * FROM t22")
 def findings_text(spark, sf_dir):
     """What reports say of each finding."""
-    return reports.flat(_scored(spark, sf_dir))
+    return _shown_texts(reports.flat(_scored(spark, sf_dir)))
 
 
 def _by_site(spark, sf_dir):
@@ -384,22 +398,29 @@ def last_runs(spark, sf_dir):
     return history.last_runs(bridge.runs(spark, sf_dir).select("label", F.col("run").alias("run_id")).distinct(), "click")
 
 
-_VEX = f"""{oracles.found(4, True, True)}, {oracles.SCORES}, vx AS (SELECT DISTINCT unnest(cves) AS cve, CASE verdict WHEN 'AFFECTED' THEN 'affected' WHEN 'NOT_AFFECTED' THEN 'not_affected' ELSE 'under_investigation' END AS status,
-  CASE WHEN verdict <> 'NOT_AFFECTED' THEN '' WHEN EXISTS (FROM ruling d WHERE tier = 0 AND d.decision = 'REJECTED' AND d.vk = a_vk AND d.afull = a_full AND d.lfull = l_full) THEN 'component_not_present' ELSE 'vulnerable_code_not_present' END AS justification, asset_id, advisory_id FROM fs)"""
+_VEX = f"""{oracles.found(4, True, True)}, {oracles.SCORES}, {oracles.SAID}, ru AS (SELECT DISTINCT vk, afull, lfull, raw, decision FROM dec WHERE decision <> 'DEFERRED'),
+vx AS (SELECT DISTINCT unnest(cves) AS cve, CASE fs.verdict WHEN 'AFFECTED' THEN 'affected' WHEN 'NOT_AFFECTED' THEN 'not_affected' ELSE 'under_investigation' END AS status,
+  CASE WHEN fs.verdict <> 'NOT_AFFECTED' THEN '' WHEN stage = 0 AND d.decision = 'REJECTED' THEN 'component_not_present' ELSE 'vulnerable_code_not_present' END AS justification, fs.asset_id, fs.advisory_id, {oracles.basis("fs", True)} AS basis, a.vendor, a.product, a.version, a.model
+  FROM fs JOIN a ON a.asset_ord = fs.asset_ord JOIN l ON l.adv_ord = fs.adv_ord AND l.prod_ord = fs.prod_ord JOIN cl ON cl.rt = l.version_text AND cl.vt0 = a.version LEFT JOIN ru d ON stage = 0 AND d.vk = a_vk AND d.afull = a_full AND d.lfull = l_full)"""
 
 
 def _vex(spark, sf_dir):
     return match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 4, bridge.decisions(spark, sf_dir), include_not_affected=True)
 
 
-@query(f"{_VEX} SELECT cve, status, justification, count(DISTINCT asset_id) AS products, count(DISTINCT advisory_id) AS advisories FROM vx GROUP BY ALL")
+@query(f"""{_VEX}, g AS (SELECT cve, status, justification, count(DISTINCT asset_id) AS products, count(DISTINCT advisory_id) AS advisories, min(basis) AS basis, list_sort(list_distinct(list(advisory_id)))[1:3] AS lead FROM vx GROUP BY ALL)
+SELECT cve, status, justification, products, advisories, array_to_string(lead, ', ') || CASE WHEN advisories > 3 THEN ' and ' || (advisories - 3) || ' more' ELSE '' END || ': ' || basis AS notes FROM g""")
 def vex_statements(spark, sf_dir):
-    return reports.vex_statements(_vex(spark, sf_dir)).drop("notes")
+    return reports.vex_statements(_vex(spark, sf_dir))
 
 
-@query(f"{_VEX} SELECT DISTINCT cve, status, justification, asset_id FROM vx")
+_PART = "regexp_replace(lower(trim({})), '[^\\p{{L}}\\p{{N}}._-]', '-', 'g')"
+
+
+@query(f"""{_VEX} SELECT DISTINCT cve, status, justification, asset_id, 'pkg:generic/' || CASE WHEN trim(vendor) = '' THEN 'unknown' ELSE {_PART.format("vendor")} END || '/' || CASE WHEN trim(product) = '' THEN 'unknown' ELSE {_PART.format("product")} END
+|| CASE WHEN version <> '' THEN '@' || {_PART.format("version")} ELSE '' END AS purl, model FROM vx""")
 def vex_products(spark, sf_dir):
-    return reports.vex_products(_vex(spark, sf_dir)).select("cve", "status", "justification", "asset_id")
+    return reports.vex_products(_vex(spark, sf_dir))
 
 
 _LABELS = "lb AS (SELECT concat('Customer#', lpad(concat('', doc_id), 9, '0')) AS asset_id, concat('ADV-', doc_id * 3) AS advisory_id, bool_or(quality = 1) AS affected FROM labels GROUP BY ALL)"
@@ -407,13 +428,14 @@ _LABELS = "lb AS (SELECT concat('Customer#', lpad(concat('', doc_id), 9, '0')) A
 
 @query(f"""{oracles.found(5)}, {_LABELS}, b AS (SELECT asset_id, advisory_id, min(tier) AS tier FROM f GROUP BY ALL), x AS (SELECT lb.*, tier FROM lb LEFT JOIN b USING (asset_id, advisory_id)), t AS (SELECT DISTINCT tier AS cutoff FROM f),
 m AS (SELECT cutoff, count(*) FILTER (affected AND coalesce(tier <= cutoff, false)) AS tp, count(*) FILTER (NOT affected AND coalesce(tier <= cutoff, false)) AS fp, count(*) FILTER (affected AND NOT coalesce(tier <= cutoff, false)) AS fn FROM t, x GROUP BY ALL)
-SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall FROM m""")
+SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall,
+round(CASE WHEN tp + fp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END, 9) AS f1 FROM m""")
 def eval_tiers(spark, sf_dir):
     found = match.match_assets(bridge.assets(spark, sf_dir), bridge.corpus(spark, sf_dir), 5)
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = rows.groupBy(F.concat(F.lit("Customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("asset_id"), F.concat(F.lit("ADV-"), F.col("doc_id") * 3).alias("advisory_id")).agg(F.bool_or(F.col("quality") == 1).alias("affected"))
-    out = evaluate.quality(evaluate.confusion(rows, found)).drop("f1")
-    return out.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+    out = evaluate.quality(evaluate.confusion(rows, found))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 _CORPUS = f"WITH {oracles.BASE}"
@@ -558,3 +580,53 @@ def search_bm25(spark, sf_dir):
 @query()
 def search_stemmed(spark, sf_dir):
     return search.search_corpus(bridge.corpus(spark, sf_dir), "orders-HIGH status_F")
+
+@query(f"""WITH o AS (SELECT concat('ADV-', o_orderkey) AS doc FROM orders WHERE o_orderpriority LIKE '%URGENT%' AND o_orderstatus = 'F'), c AS (SELECT count(*) AS n FROM orders), f AS (SELECT count(*) AS df FROM orders WHERE o_orderstatus = 'F'),
+u AS (SELECT count(*) AS df FROM orders WHERE o_orderpriority LIKE '%URGENT%'), av AS (SELECT avg(CASE WHEN contains(o_orderpriority, ' ') THEN 8 ELSE 7 END) AS av FROM orders)
+SELECT doc, round(-2.2 / (1 + 1.2 * (0.25 + 0.75 * 7 / av)) * (greatest(ln((n - u.df + 0.5) / (u.df + 0.5)), 1e-6) + greatest(ln((n - f.df + 0.5) / (f.df + 0.5)), 1e-6)), 6) AS rank FROM o, c, u, f, av ORDER BY doc LIMIT 25""")
+def search_top(spark, sf_dir):
+    """A word and words that follow one another, over two fields; what is found is of one length, so ties go by id."""
+    docs = cut(search.documents(bridge.corpus(spark, sf_dir)).select("doc", "title", "summary"))
+    index = cut(search.postings(docs, ("title", "summary"), False))
+    lengths = search.sizes(index)
+    average = lengths.agg(F.avg("dl")).first()[0]
+    return search.search(index, docs.count(), average, lengths, "urgent status_F", 25, False).withColumn("rank", F.round("rank", 6))
+
+
+# ---- files ----
+
+
+def _folder(spark) -> str:
+    return f"{shared(spark)}/advisium/queries-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"WITH b AS ({bridge.duck_text(bridge.ASSET)}) SELECT 'site=' || site AS inventory, asset_id, trim(vendor) AS vendor, trim(product) AS product, version, model, cpe, purdue_level FROM b")
+def inventory_files(spark, sf_dir):
+    """Inventories written as files with other headers, and read again."""
+    rows = bridge.assets(spark, sf_dir)
+    rows = rows.select(F.col("asset_id").alias("Tag"), F.col("vendor").alias("Make"), F.col("product").alias("Product Name"), F.col("version").alias("FW"), F.col("model").alias("SKU"), "cpe", F.col("purdue_level").alias("Level"), "site")
+    sites = [r.site for r in rows.select("site").distinct().collect()]  # one for each inventory
+    top = _folder(spark)
+    rows.write.partitionBy("site").option("header", True).csv(top)
+    found = inventory.read_all(spark, [f"{top}/site={s}" for s in sites])
+    return found.select("inventory", "asset_id", "vendor", "product", "version", "model", "cpe", "purdue_level")
+
+
+@query(f"WITH b_vuln AS ({bridge.duck_text(bridge.VULN)}), kev AS ({bridge.duck_text(bridge.KEV)}), ep AS ({bridge.duck_text(bridge.EPSS)}) SELECT cve, true AS in_kev, NULL::DOUBLE AS epss FROM kev UNION ALL SELECT cve, false, epss FROM ep")
+def feed_files(spark, sf_dir):
+    """Feeds written in the formats that they are published in, and read again."""
+    kev, epss = bridge.feeds(spark, sf_dir)
+    top = _folder(spark)
+    listed = kev.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("cve").alias("cveID"))).alias("vulnerabilities"))).alias("value"))  # a feed is one JSON text
+    listed.write.text(f"{top}/kev")
+    lines = epss.select(F.concat_ws(",", "cve", F.col("epss").cast("string"), F.lit("0.5")).alias("value"))
+    spark.createDataFrame([("#model_version:v1",), ("cve,epss,percentile",)], "value string").union(lines).write.text(f"{top}/epss")
+    one = inventory.kev(spark, f"{top}/kev").select("cve", F.lit(True).alias("in_kev"), F.lit(None).cast("double").alias("epss"))
+    return one.unionByName(inventory.epss(spark, f"{top}/epss").select("cve", F.lit(False).alias("in_kev"), "epss"))
+
+
+@query(f"""{_CORPUS}, s AS (SELECT (SELECT count(*) FROM b_leaf) AS products, (SELECT count(*) FROM b_leaf WHERE cpe <> '') AS with_cpe, (SELECT count(*) FROM b_leaf WHERE len(model_numbers) > 0) AS with_model, (SELECT count(*) FROM b_leaf WHERE version_text <> '') AS with_version,
+(SELECT count(*) FROM b_leaf JOIN r ON r.rt = version_text WHERE version_text <> '' AND kind = 'UNPARSEABLE') AS unparseable) SELECT round(100.0 * with_cpe / products, 6) AS with_cpe_pct, round(100.0 * with_model / products, 6) AS with_model_pct, round(100.0 * unparseable / with_version, 6) AS unparseable_pct FROM s""")
+def corpus_percentages(spark, sf_dir):
+    names = ("with_cpe_pct", "with_model_pct", "unparseable_pct")
+    return evaluate.percentages(evaluate.stats(bridge.corpus(spark, sf_dir))).select(*(F.round(c, 6).alias(c) for c in names))
