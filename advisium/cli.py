@@ -92,6 +92,7 @@ def _warn(assets: DataFrame, aliases: dict[str, str] | None) -> None:
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "update":
         csaf.read(spark, a.source).stored().save(a.corpus, "overwrite")
+        search.save(Corpus.load(spark, a.corpus), f"{a.corpus}/index")
     corpus = Corpus.load(spark, a.corpus)
     if a.command in ("update", "stats"):
         evaluate.percentages(evaluate.stats(corpus)).show(vertical=True)
@@ -102,7 +103,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         evaluate.coverage(leaves).show(a.limit, False)
         print(f"ranges that no version can be in: {evaluate.unsatisfiable(leaves).count()}")
     elif a.command == "search":
-        search.search_corpus(corpus, a.query, a.limit).show(a.limit, False)
+        stored = search.load(spark, f"{a.corpus}/index") if Path(a.corpus, "index").exists() else None
+        search.search_corpus(corpus, a.query, a.limit, stored).show(a.limit, False)
     elif a.command == "match":
         assets = inventory.read(spark, a.assets)
         _warn(assets, _aliases(a))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -9,9 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Latin letters with marks, and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters with marks, and the letters without: what Unicode's decompositions begin with.
+_LATIN = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()}
+MARKED = "".join(k for k, v in _LATIN.items() if k != v and v.isascii())
+PLAIN = "".join(_LATIN[k] for k in MARKED)
 
 
 def terms(text: Column) -> Column:

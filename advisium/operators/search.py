@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisium.functions import text
@@ -73,10 +73,21 @@ def search(index: DataFrame, total: int, average: float, lengths: DataFrame, que
     return ranked.limit(limit) if limit else ranked
 
 
-def search_corpus(corpus: Corpus, query: str, limit: int = 25) -> DataFrame:
-    """(advisory_id, rank, cvss, title, has_patch) of a corpus, best first."""
-    index = postings(documents(corpus))
-    lengths = sizes(index)
+def save(corpus: Corpus, folder: str) -> None:
+    """Writes a corpus' index: postings in the order of their terms, so that a query reads few of them, and lengths."""
+    postings(documents(corpus)).repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
+    sizes(corpus.advisories.sparkSession.read.parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/sizes")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) that save() wrote."""
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes")
+
+
+def search_corpus(corpus: Corpus, query: str, limit: int = 25, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(advisory_id, rank, cvss, title, has_patch) of a corpus, best first; stored: its index, see load()."""
+    index = stored[0] if stored else postings(documents(corpus))
+    lengths = stored[1] if stored else sizes(index)
     total = corpus.advisories.count()
     average = lengths.agg(F.sum("dl")).first()[0] or 0
     found = search(index, total, max(average / max(total, 1), 1e-9), lengths, query, limit)
