@@ -45,6 +45,10 @@ BRANDS = (
 FAMILY = {"siplus": "simatic"}
 #: Words of a product's name that carry no identity, as patterns.
 NOISE_WORDS = r"cpu|plc|hmi|rtu|series|family|line|products?|devices?|modules?|controllers?|firmware|platform|systems?|all\s+versions?"
+#: A remark in brackets at a name's end, of more than one word.
+REMARK = r"\(\s*[^()]*\s+[^()]*\)\s*$"
+#: A plural of four letters or more, and what is kept of it.
+PLURAL = r"\b([A-Za-z]{3,}?[^sui])s\b"
 MIN_CORE = 4
 
 
@@ -108,7 +112,7 @@ def product_key(name: Column | str, vendor: Column | None = None, aliases: dict[
     brand = "|".join(BRANDS)
 
     def split(raw: Column) -> Column:
-        text = strip(F.regexp_replace(raw, r"\(\s*[^()]*\s+[^()]*\)\s*$", ""))
+        text = strip(F.regexp_replace(raw, REMARK, ""))
         return let(drop_vendor(text), parts(raw))
 
     def parts(raw: Column):
@@ -116,7 +120,7 @@ def product_key(name: Column | str, vendor: Column | None = None, aliases: dict[
             first = F.lower(F.regexp_extract(text, rf"(?i)^\s*({brand})\b", 1))
             rest = F.regexp_replace(text, rf"(?i)^(?:\s*(?:{brand})\b[\s._-]*){{1,3}}", "")
             rest = F.regexp_replace(rest, rf"(?i)\b(?:{NOISE_WORDS})\b", " ")
-            rest = F.regexp_replace(rest, r"\b([A-Za-z]{3,}?[^sui])s\b", "$1")
+            rest = F.regexp_replace(rest, PLURAL, "$1")
             return let(F.struct(first.alias("b"), squash(rest).alias("c")), lambda s: named(raw, s))
 
         return body

@@ -28,7 +28,10 @@ REFUSED = (
     (r"(?i)\bupd\b|\bsp[0-9]", "service-pack / update qualifier"),
     (r"(?i)prior to|before|earlier than|older than|distributed", "prose range, no machine syntax"),
 )
+#: An operator and its version; a version qualified by a component; a version's numbers and the rest of it.
 CONSTRAINT = r"(<=|>=|<|>|=)\s*([^<>=|,\s]+)"
+QUALIFIED = rf"(?i)^(?:with[\s_]+)?({COMPONENTS})[\s._-]+(.+)$"
+NUMBERED = r"^([0-9]+(?:[._][0-9]+)*)([A-Za-z0-9._+\-()]*)$"
 VERSION = "struct<raw:string,num:array<string>,suf:string,component:string,ord:string>"
 RANGE = f"struct<raw:string,kind:string,note:string,constraints:array<struct<op:string,version:{VERSION}>>,component:string,lo:string,lo_in:boolean,hi:string,hi_in:boolean>"
 
@@ -44,19 +47,17 @@ def parse_version(text: Column | str) -> Column:
     none = F.lit(None).cast(VERSION)
 
     def qualified(raw: Column) -> Column:
-        pattern = rf"(?i)^(?:with[\s_]+)?({COMPONENTS})[\s._-]+(.+)$"
-        component = F.regexp_extract(raw, pattern, 1)
-        rest = F.when(component == "", raw).otherwise(strip(F.regexp_extract(raw, pattern, 2)))
+        component = F.regexp_extract(raw, QUALIFIED, 1)
+        rest = F.when(component == "", raw).otherwise(strip(F.regexp_extract(raw, QUALIFIED, 2)))
         clean = F.regexp_replace(strip(F.regexp_replace(rest, PREFIX, "")), "(?<=[0-9])_(?=[0-9])", ".")
         return let(F.struct(component.alias("component"), clean.alias("clean")), lambda s: numbered(raw, s))
 
     def numbered(raw: Column, s: Column) -> Column:
-        pattern = r"^([0-9]+(?:[._][0-9]+)*)([A-Za-z0-9._+\-()]*)$"
-        num = F.transform(F.split(F.regexp_extract(s["clean"], pattern, 1), "[._]"), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
-        suf = F.lower(F.regexp_extract(s["clean"], pattern, 2))
+        num = F.transform(F.split(F.regexp_extract(s["clean"], NUMBERED, 1), "[._]"), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+        suf = F.lower(F.regexp_extract(s["clean"], NUMBERED, 2))
         key = lambda n: F.concat(F.array_join(F.transform(n, lambda x: F.concat(F.lpad(F.length(x).cast("string"), 4, "0"), x)), ""), F.lit("!"), suf)
         read = lambda n: F.struct(raw.alias("raw"), n.alias("num"), suf.alias("suf"), s["component"].alias("component"), key(n).alias("ord"))
-        return F.when(s["clean"].rlike(pattern), let(_trimmed(num), read)).otherwise(none)
+        return F.when(s["clean"].rlike(NUMBERED), let(_trimmed(num), read)).otherwise(none)
 
     return let(strip(text), lambda raw: F.when(raw == "", none).otherwise(qualified(raw)))
 

@@ -15,15 +15,20 @@ def snapshot(findings: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "o").alias("x")).select(*KEY, "x.*")
 
 
+def _number(spark: SparkSession, folder: str) -> int:
+    """A run's number, one above the last; a folder that only one writer can make claims it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/numbers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    n = max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=0) + 1
+    while not fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(path, str(n))):
+        n += 1
+    return n
+
+
 def record(spark: SparkSession, folder: str, label: str, ran_at: str, assets: int, findings: DataFrame) -> int:
-    """Appends a run and its findings; its number is one above the last."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        last = spark.read.parquet(f"{folder}/runs").agg(F.max("run_id")).first()[0] or 0
-    except AnalysisException:  # the first run
-        last = 0
-    run_id = last + 1
+    """Appends a run and its findings; its number is one above the last. The run's row comes last, so a run that is listed is whole."""
+    run_id = _number(spark, folder)
     rows = snapshot(findings).withColumns({"label": F.lit(label), "run_id": F.lit(run_id).cast("long")})
     rows.write.mode("append").partitionBy("label", "run_id").parquet(f"{folder}/findings")
     n = findings.count()

@@ -40,6 +40,26 @@ _CARRIED = (("reason", 4), ("verdict", 3), ("in_range", 2))
 _ROW = ("asset_ord", "adv_ord", "prod_ord", "stage", "tier", "verdict", "confidence", "reason", "in_range", "ratio")
 
 
+#: Pairs of a vendor that one task makes at most, before a vendor's rows are dealt out further.
+PAIRS = 20_000_000
+
+
+def salted(x: DataFrame, y: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """x and y with a salt, for a join on vendor_key and salt whose output is what weighs.
+
+    Adaptive execution goes by the bytes that a task reads, and a vendor's few rows may make any number
+    of pairs. Where they make over PAIRS, y is dealt out by a hash of the column by and x repeated.
+    """
+    sizes = x.groupBy("vendor_key").agg(F.count("*").alias("nx")).join(y.groupBy("vendor_key").agg(F.count("*").alias("ny")), "vendor_key")
+    many = cut(sizes.select("vendor_key", F.ceil(F.col("nx") * F.col("ny") / PAIRS).cast("int").alias("salts")).where("salts > 1"))
+    if many.isEmpty():
+        return x.withColumn("salt", F.lit(0)), y.withColumn("salt", F.lit(0))
+    n = F.coalesce("salts", F.lit(1))
+    x = x.join(many, "vendor_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    y = y.join(many, "vendor_key", "left").withColumn("salt", F.pmod(F.xxhash64(by), n).cast("int"))
+    return x.drop("salts"), y.drop("salts")
+
+
 def _candidate(joined: DataFrame, stage: int, tier: Column | int, reason: str, in_range: Column | None = None, verdict: Column | None = None, confidence: Column | None = None, ratio: Column | None = None) -> DataFrame:
     none = F.lit(None)
     return joined.select(
@@ -96,7 +116,8 @@ def similar_keys(a: DataFrame, l: DataFrame, threshold: float) -> DataFrame:  #
     ours = x.select("vendor_key", F.col("key.full").alias("afull"), F.col("key.core").alias("acore")).distinct()
     theirs = y.groupBy("vendor_key", F.col("key.full").alias("lfull")).agg(F.min_by("key.core", F.struct("adv_ord", "prod_ord")).alias("core"))
     same = F.col("acore") == F.col("core")
-    pairs = ours.join(theirs, "vendor_key").where(
+    ours, theirs = salted(cut(ours), cut(theirs), "lfull")
+    pairs = ours.join(theirs, ["vendor_key", "salt"]).where(
         same & (F.col("afull") != F.col("lfull")) & ~keys.low_entropy("acore") | ~same & similarity.may_reach(F.col("afull"), F.col("lfull"), threshold)
     )
     equal = pairs.where(same).withColumn("ratio", F.lit(1.0))
@@ -133,7 +154,8 @@ def by_vendor(a: DataFrame, l: DataFrame, found: DataFrame, decisions: DataFrame
     found = found.select("asset_ord", "adv_ord").distinct()
 
     def open_pairs(leaves: DataFrame) -> DataFrame:
-        joined = x.alias("a").join(leaves.alias("l"), F.col("a.vendor_key") == F.col("l.vendor_key"))
+        ours, theirs = salted(x, leaves, "adv_ord")
+        joined = ours.alias("a").join(theirs.alias("l"), (F.col("a.vendor_key") == F.col("l.vendor_key")) & (F.col("a.salt") == F.col("l.salt")))
         return _candidate(joined, 5, 5, "vendor").join(found, ["asset_ord", "adv_ord"], "left_anti")
 
     if strict_clear:
@@ -144,8 +166,10 @@ def by_vendor(a: DataFrame, l: DataFrame, found: DataFrame, decisions: DataFrame
     if decisions is None:
         return out
     keyed = decisions.select(F.col("vendor_key").alias("vk"), F.col("asset_product_key").alias("afull"), F.col("adv_product_key").alias("lfull"))
-    passed = out.join(keyed, ["vk", "afull", "lfull"], "left_semi").select("asset_ord", "adv_ord").distinct()
-    others = open_pairs(y).join(passed, ["asset_ord", "adv_ord"], "left_semi").join(keyed, ["vk", "afull", "lfull"], "left_anti")
+    passed = out.join(keyed, ["vk", "afull", "lfull"], "left_semi").select(F.col("asset_ord").alias("p_asset"), F.col("adv_ord").alias("p_adv")).distinct()
+    joined = passed.join(x.alias("a"), F.col("p_asset") == F.col("a.asset_ord"))
+    joined = joined.join(y.alias("l"), (F.col("p_adv") == F.col("l.adv_ord")) & (F.col("a.vendor_key") == F.col("l.vendor_key")))
+    others = _candidate(joined, 5, 5, "vendor").join(keyed, ["vk", "afull", "lfull"], "left_anti")
     least = others.groupBy("asset_ord", "adv_ord").agg(F.min("prod_ord").alias("prod_ord"))
     others = others.join(least, ["asset_ord", "adv_ord", "prod_ord"], "left_semi")
     return out.join(keyed, ["vk", "afull", "lfull"], "left_anti").select(*out.columns).unionByName(others.select(*out.columns))
@@ -244,7 +268,7 @@ def candidates(a: DataFrame, l: DataFrame, max_tier: int = 5, decisions: DataFra
 
 
 def _basis(decided: bool) -> Column:
-    """How a finding was made, in words."""
+    """How a finding was made. Its words are an output format: fixed values."""
     said = F.col("clause.text")
     has_version = F.coalesce("a.version", F.lit("")) != ""
     ident = F.coalesce(F.get(F.filter(F.concat("l.skus", "l.model_numbers"), lambda x: keys.ident_key(x) == F.col("a.model_key")), F.lit(0)), F.col("a.model"))

@@ -158,3 +158,14 @@ def test_revisions(spark, titles, want):
     rows = [("X", titles[0], "2024", "2024", "/c/OT/other.json"), ("X", titles[1], "2023", "2024", "/c/X/x.json")]
     got = {r.advisory_id: r.source_path for r in C.revisions(spark.createDataFrame(rows, "advisory_id string, title string, revised string, published string, source_path string")).collect()}
     assert sorted(got) == want and got["X"] == ("/c/OT/other.json" if len(want) == 1 else "/c/X/x.json")
+
+
+def test_salted_vendors(spark, monkeypatch):
+    """A vendor of many pairs is dealt out to more tasks, and no pair is lost or made twice."""
+    monkeypatch.setattr(match, "PAIRS", 50)
+    x = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 100)], "vendor_key string, n long")
+    y = spark.createDataFrame([("a", f"k{i}") for i in range(40)] + [("b", "z"), ("c", "y")], "vendor_key string, k string")
+    p, q = match.salted(x, y, "k")
+    assert q.where("vendor_key = 'a'").select("salt").distinct().count() > 10
+    got = sorted((r.n, r.k) for r in p.join(q, ["vendor_key", "salt"]).collect())
+    assert got == sorted([(i, f"k{k}") for i in range(30) for k in range(40)] + [(100, "z")])

@@ -6,6 +6,7 @@ import pytest
 
 from advisium.functions import keys
 from advisium.operators import corpus as C
+from advisium.session import numbered
 from advisium.sources import csaf, inventory
 from advisium.streaming import update
 
@@ -97,6 +98,21 @@ def test_update_stream(spark, read, tmp_path):
     assert [r.cve for r in last.vulns.collect()] == ["CVE-2"] and last.leaves.count() == 0
 
 
+def test_update_stream_of_deltas(spark, tmp_path):
+    """Batches between whole ones hold what arrived, and the corpus that is read is the same."""
+    lot, folder = tmp_path / "in", str(tmp_path / "corpus")
+    for n, files in enumerate(([("a", "A", "old"), ("b", "B", "b")], [("c", "A", "new")], [("d", "C", "c")], [("e", "B", "newer")])):
+        for name, aid, title in files:
+            write(lot, f"{name}.json", advisory(aid, title, vulns=[{"cve": f"CVE-{name}"}]))
+        update.start(spark, str(lot), folder, str(tmp_path / "ck"), every=3).awaitTermination()
+        assert C.Corpus.load(spark, f"{folder}/{n}").advisories.count() == (2, 1, 1, 3)[n]
+    assert update.last(spark, folder) == 3 and update.last(spark, str(tmp_path / "none")) is None
+    for n, want in ((1, {"A": "new", "B": "b"}), (2, {"A": "new", "B": "b", "C": "c"}), (None, {"A": "new", "B": "newer", "C": "c"})):
+        got = update.load(spark, folder, n, 3)
+        assert {r.advisory_id: r.title for r in got.advisories.collect()} == want and got.vulns.count() == len(want)
+        assert got.advisories.select("adv_ord").distinct().count() == len(want)
+
+
 def test_inventory(spark, tmp_path):
     path = tmp_path / "site.csv"
     path.write_text('﻿Hostname,Manufacturer,Model Name,Firmware,"Order Number",zone,extra\nh1, Siemens ,"S7, ""new""",4.2,6ES7,2,x\nh2,,,,,,\n"h3","a\nb",,,,,\n', encoding="utf-8")
@@ -125,3 +141,20 @@ def test_feeds(spark, tmp_path):
 def test_alias_file():
     assert inventory.aliases("{not: [yaml") == {} and inventory.aliases("") == {}
     assert keys.alias_table({"new": ["New Spelling"]})["newspelling"] == "new"
+
+
+def test_deep_trees(spark, tmp_path):
+    """Branches of any depth that JSON may have are read; a deeper file is skipped, and no other with it."""
+    for n in (3, 70, 480, 700):
+        tree = [{"category": "product_name", "name": "leaf", "product": product(f"P{n}")}]
+        for k in range(n - 1):
+            tree = [{"category": "vendor" if k == n - 2 else "product_family", "name": f"b{k}", "branches": tree}]
+        write(tmp_path, f"deep{n}.json", advisory(f"D{n}", branches=tree))
+    got = csaf.read(spark, str(tmp_path))
+    assert sorted(r.product_id for r in got.leaves.collect()) == ["P3", "P480", "P70"] and got.advisories.count() == 3
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(f"f{i:03d}", i) for i in range(200)], "path string, i long").repartition(7)
+    got = sorted((r.path, r.n) for r in numbered(rows, "path", "n").collect())
+    assert got == [(f"f{i:03d}", i + 1) for i in range(200)] and numbered(rows.limit(0), "path", "n").count() == 0
