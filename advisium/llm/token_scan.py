@@ -8,6 +8,7 @@ document that runs on into it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from advisium.llm.common import AtomicFile, listing, read_range, ready, texts
+from advisium.llm.common import AtomicFile, listing, read_range, ready, remove, texts
 from advisium.llm.tokens import encoder
 
 SUFFIX, TOKENIZER, SEPARATOR = ".ids", "byte_bpe_50k.json", 50256
@@ -28,7 +29,8 @@ BLOCK = 4 << 20
 def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, separator: int = SEPARATOR) -> DataFrame:
     """Writes ids of whole texts to flat files, one for each partition; (file, seq, doc_id) of them.
 
-    Strings of special tokens in a text are ordinary text, so the separator only ends documents.
+    Each attempt of a task writes a file of its own name, and those of attempts that did not count are
+    removed, so a task that runs twice gives its documents once. Strings of special tokens in a text are ordinary text, so the separator only ends documents.
     """
     ready(docs.sparkSession)
     path = public_tokenizers.path(tokenizer)
@@ -36,19 +38,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, separator: i
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, plain=True)
         end = np.array([separator], enc.dtype).tobytes()
-        number, seq, out = TaskContext.get().partitionId(), 0, None
+        name, seq, out = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:12]}{SUFFIX}", 0, None
         for part in parts:
             if not part.num_rows:
                 continue
-            out = out or AtomicFile(folder, f"part-{number:08d}{SUFFIX}")
+            out = out or AtomicFile(folder, name)
             out.add(end.join([*enc(texts(part)), b""]))
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id")], ["file", "seq", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id")], ["file", "seq", "doc_id"])
             seq += n
         if out:
             out.close()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file long, seq long, doc_id long").checkpoint()
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, seq long, doc_id long").checkpoint()
+    kept = {x.file for x in out.where("seq = 0").select("file").collect()}  # a name for each partition
+    for place, _ in listing(folder, SUFFIX):
+        if place.rsplit("/", 1)[1] not in kept:
+            remove(place)
+    return out
 
 
 def ends(ids: np.ndarray, separator: int) -> np.ndarray:
@@ -58,7 +65,7 @@ def ends(ids: np.ndarray, separator: int) -> np.ndarray:
 def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, seq, start, n_tokens): the documents of every flat file of a folder.
 
-    file: the number in the file's name; seq: the document's place in it, from 0; start: its first
+    file: the file's name; seq: the document's place in it, from 0; start: its first
     id's place; n_tokens: its ids without the separator. Ids after a file's last separator are a
     document as well. Empty files and folders have none.
     """
@@ -66,11 +73,11 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, width: in
     if block % width:
         raise ValueError("blocks hold whole ids")
     found = [(p, size) for p, size in listing(folder, SUFFIX) if size]
-    number = [int(p.rsplit("-", 1)[1].removesuffix(SUFFIX)) for p, _ in found]
+    names = [p.rsplit("/", 1)[1] for p, _ in found]
     first = np.concatenate([[0], np.cumsum([-(-size // block) for _, size in found])]).astype(np.int64)
     n_blocks = int(first[-1])
     if not n_blocks:
-        return spark.createDataFrame([], "file long, seq long, start long, n_tokens long")
+        return spark.createDataFrame([], "file string, seq long, start long, n_tokens long")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -80,11 +87,11 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, width: in
                 path, size = found[f]
                 ids = np.frombuffer(read_range(path, k * block, min(block, size - k * block)), f"<u{width}")
                 at = ends(ids, separator)
-                row = [number[f], k, len(ids), len(at), int(at[-1]) if len(at) else None]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([at], pa.list_(pa.int64()))], ["file", "block", "n", "k", "last", "ends"])
+                row = [k, len(ids), len(at), int(at[-1]) if len(at) else None]
+                yield pa.RecordBatch.from_arrays([pa.array([names[f]]), *(pa.array([x], pa.int64()) for x in row), pa.array([at], pa.list_(pa.int64()))], ["file", "block", "n", "k", "last", "ends"])
 
     blocks = spark.range(0, n_blocks, 1, min(n_blocks, max(1, n_blocks // 4, spark.sparkContext.defaultParallelism)))
-    blocks = blocks.mapInArrow(run, "file long, block long, n long, k long, last long, ends array<long>").checkpoint()
+    blocks = blocks.mapInArrow(run, "file string, block long, n long, k long, last long, ends array<long>").checkpoint()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = blocks.select("file", "block", "n", "k", "last")
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("docs", F.coalesce(F.sum("k").over(before), F.lit(0)))

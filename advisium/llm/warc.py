@@ -14,6 +14,7 @@ import bisect
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -90,32 +91,35 @@ def _archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; (key, page_id, file, offset, length) of every record.
 
     Equal payloads are found by their digest; each copy but the one with the largest page_id
-    becomes a revisit. Counts come from a partial aggregate and the join is one that adaptive
-    execution can split, so a payload that a third of all pages share is no single task's work.
+    becomes a revisit. Counts come from a partial aggregate that is cut by a checkpoint, so the join
+    is one of two plain shuffles that adaptive execution can split: a payload that a third of all
+    pages share is no single task's work. Each attempt of a task writes a file of its own name, and
+    the lines that are kept name the files of the attempts that they came from.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     keep = rows.where((F.octet_length("html") >= LEAST) & F.col("page_id").isNotNull())
-    keep = keep.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
+    keep = keep.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep").checkpoint()
     rows = rows.join(keep, "digest", "left")
     rows = rows.select(url_key(F.col("url")).alias("key"), "page_id", "url", "html", F.when(F.col("page_id") < F.col("keep"), F.col("keep")).alias("refers_to"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, out = TaskContext.get().partitionId(), None
+        number, name, out = TaskContext.get().partitionId(), "", None
         for part in parts:
             if not part.num_rows:
                 continue
-            out = out or AtomicFile(folder, f"part-{number:08d}{SUFFIX}")
+            name = name or f"part-{number:08d}-{uuid.uuid4().hex[:12]}{SUFFIX}"
+            out = out or AtomicFile(folder, name)
             cols = (part.column(x).to_pylist() for x in ("page_id", "url", "html", "refers_to"))
             placed = [out.add(_member(record(p, u, h.encode(), r))) for p, u, h, r in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("page_id"), *(pa.array(c, pa.int64()) for c in ([number] * len(placed), *zip(*placed, strict=True)))],
+                [part.column("key"), part.column("page_id"), pa.array([name] * len(placed)), *(pa.array(c, pa.int64()) for c in zip(*placed, strict=True))],
                 ["key", "page_id", "file", "offset", "length"],
             )
         if out:
             out.close()
 
-    return rows.mapInArrow(run, "key string, page_id long, file long, offset long, length long").checkpoint()
+    return rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long").checkpoint()
 
 
 def _order(key: str | None, page_id: int | None) -> tuple[bytes, int]:
@@ -181,7 +185,7 @@ def _records(folder: str, lines: list[tuple]) -> Iterator[dict]:
         while last < len(lines) and lines[last][2] == file and lines[last][3] + lines[last][4] - start <= max(SPAN, lines[k][4]) and lines[last][3] - end <= 4096:
             end = max(end, lines[last][3] + lines[last][4])
             last += 1
-        data = read_range(f"{folder}/warc/part-{file:08d}{SUFFIX}", start, end - start)
+        data = read_range(f"{folder}/warc/{file}", start, end - start)
         for x in lines[k:last]:
             yield parse(zlib.decompress(data[x[3] - start : x[3] - start + x[4]], 31))
         k = last
