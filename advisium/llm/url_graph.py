@@ -72,8 +72,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     state = seeds.select("host", "kind", F.col("seed").cast("double").alias("score"))
     edges = edges.checkpoint()
     if not edges.isEmpty():
-        out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-        into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
+        # cut, so that a host with a third of all links can be split in the joins
+        out = edges.groupBy("src").agg(F.sum("n").alias("total")).checkpoint()
+        into = edges.groupBy("dst").agg(F.sum("n").alias("total")).checkpoint()
         share = (F.col("n") / F.col("total")).alias("share")
         moves = (
             edges.join(out, "src").select(F.col("src").alias("host"), F.lit("t").alias("kind"), F.col("dst").alias("to"), share)
@@ -108,7 +109,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
         .agg(F.count("*").alias("seed"))
     )
     bad = propagate(seeds, host_edges(pages)).where(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
-    bad = bad.where("host <> ''").select("host", F.lit("block").alias("spread"))
+    bad = bad.where("host <> ''").select("host", F.lit("block").alias("spread")).checkpoint()  # cut: a host may have many pages
     return named.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"))
 
 
