@@ -134,8 +134,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
-    """Chunks and labels of a bounded sample of the labelled rows that may be learnt from."""
+def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, each: int = SAMPLE_CHUNKS) -> list[tuple[np.ndarray, int]]:
+    """Chunks and labels of a bounded sample of the labelled rows that may be learnt from.
+
+    size: rows, half of each label, by a hash of doc_id. each: chunks of a row, drawn from its whole
+    text, as the driver holds them all; scores read all chunks. Without labels the sample is empty.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     mixed = F.xxhash64("doc_id", F.lit(SEED))
@@ -148,7 +152,7 @@ def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tupl
             ids, out = part.column("doc_id").to_pylist(), []
             for i, text in zip(ids, texts(part), strict=True):
                 x = chunks(text.encode())
-                take = np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).permutation(len(x))[:SAMPLE_CHUNKS])
+                take = np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).permutation(len(x))[:each])
                 out.append(x[take].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "x"])
 
@@ -157,9 +161,10 @@ def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tupl
     return [(np.frombuffer(bytes(x), np.uint8).reshape(-1, CHUNK), wanted[i]) for i, x in sorted((r.doc_id, r.x) for r in found)]
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Net:
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, each: int = SAMPLE_CHUNKS) -> Net:
+    """A net fitted on the driver to a bounded sample, see sampled()."""
     ready(docs.sparkSession)
-    return Net().fit(sampled(docs, labels, size))
+    return Net().fit(sampled(docs, labels, size, each))
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
@@ -180,7 +185,11 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Net) -> DataFrame:
-    """The documents that the net predicts to be good, with all their columns, without a shuffle."""
+    """The documents that the net predicts to be good, with all their columns, without a shuffle.
+
+    Null and empty texts score as score() has them; null doc_ids and repeated rows are judged by their
+    text; a text of any length is scored in chunks, all of them. An empty table stays empty.
+    """
     ready(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
