@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advisium.llm.common import ready, texts
+from advisium.llm.common import few, ready, texts
 from advisium.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -55,15 +55,19 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. Null texts have no words."""
+    """(doc_id, t, fp): a hash of the text, and fp as a signed long. Null texts have no words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fps = np.array([fingerprint(x, width) for x in texts(part)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(fps)], ["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), _text_key(F.col("text")).alias("t"), "text").mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def anchors(fp: Column) -> Column:
@@ -134,32 +138,43 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(doc_id, t, fp, component_id) of rows with a doc_id; t tells the texts of a doc_id apart."""
+    ready(docs.sparkSession)
+    marked = fingerprints(docs.where("doc_id is not null"), width).checkpoint()
+    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(firsts.select("fp"), threshold)).select(F.col("node").alias("fp"), "root")
+    firsts = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    # cut, so that a root or fingerprint that many have can be split
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id")).checkpoint()
+    classes = firsts.join(least, "root").select("fp", "component_id").checkpoint()
+    return marked.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of documents that links join.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id of the group, itself
     included. Rows with a null doc_id are dropped; repeated rows give repeated rows; null and empty
-    texts have fingerprint zero and link as any other. Other columns, whatever their names, are
-    not read. An empty table gives an empty result.
+    texts have fingerprint zero and link as any other. Long texts are whole: a worker holds the words
+    and shingle hashes of one. Bits that are tied at half of the shingles are zero. Other columns,
+    whatever their names, are not read. An empty table gives an empty result.
     """
-    ready(docs.sparkSession)
-    marked = fingerprints(docs.where("doc_id is not null"), width).checkpoint()
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), threshold)).select(F.col("node").alias("fp"), "root")
-    firsts = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = firsts.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, width, threshold).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns.
+    """One row of each group, with all its columns: of the smallest doc_id, of its texts the one with the least hash.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id have no group and stay.
+    A doc_id on rows of several groups is looked at by row, so each group keeps one. Rows with a null
+    doc_id have no group and stay.
     """
-    found = near_duplicates(docs, width, threshold).checkpoint()
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    found = _grouped(docs, width, threshold).checkpoint()
+    own = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("t").alias("kept")).checkpoint()
+    # a group's smallest doc_id may stand on texts of other groups too: only its own count
+    gone = found.join(own, "component_id").where("doc_id <> component_id or t <> kept").select(F.col("doc_id").alias("d"), "t").distinct()
+    gone = few(gone)
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["d"]) & (_text_key(docs["text"]) == gone["t"]), "left_anti")
+    if found.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
