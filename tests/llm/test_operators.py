@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +117,13 @@ def test_near_duplicates_edges(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
 
 
+def test_deduplicate_looks_at_rows(spark):
+    one, two, three = ("a b c d e f g", "k l m n o p q", "r s t u v w x")
+    rows = [(1, one), (4, one), (4, two), (5, two), (6, three), (6, three), (0, three), (None, one), (None, one)]
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.text) for r in simhash.deduplicate(docs(spark, rows)).collect())
+    assert got == [(-1, one), (-1, one), (0, three), (1, one), (4, two)]
+
+
 def test_components_chain(spark):
     n = 60
     edges = [(i, i + 1) for i in range(n)] + [(5, 3), (3, 5), (7, 7)] + [(100, 100 + k) for k in range(1, 40)]
@@ -147,7 +155,14 @@ def test_base_spans(text):
 def test_base_is_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "1 " * 150_000, "." * 300_000 + "@"):
         pii.base(text)
-        list(pii.candidates(text[:5000], []))
+        list(pii.candidates(text, []))
+    text = "call +1 (200) 555-1000 or 4380628581791761, (333) 555-2000; a@b.cc " * 15_000  # 1 MB, 60,000 spans
+    began = time.time()
+    spans = [x for found in pii.base(text).values() for x in found]
+    more = list(pii.candidates(text, spans))
+    assert len(spans) == 45_000 and len(more) == 15_000 and time.time() - began < 60
+    found, against = pii.strangers(text, lambda x: np.ones(x.shape, bool))
+    assert len(against) == 2 * 30_000 and not found and time.time() - began < 90
 
 
 def test_detect(spark):
@@ -178,6 +193,70 @@ def test_discovery(spark):
     assert pii.redact(empty(spark)).columns == empty(spark).columns
 
 
+def test_words_in_trusted_contexts(spark):
+    """What no pattern of characters describes is found by where it stands, and only where nothing else stands."""
+    rows = [(i, f"on file: mail u{i}@example.com now") for i in range(8)] + [(20, "on file: mail <bob-at-work7> now"), (21, "on file: mail X9 now")]
+    rows += [(30 + i, f"we saw 10.0.0.{i} there") for i in range(8)] + [(40 + i, "we saw nothing there") for i in range(8)] + [(60, "we saw host77 there"), (61, "host88 is here")]
+    frame = docs(spark, rows).selectExpr("*", "1 AS more", "2 AS __spans", "3 AS mentions")
+    got = {r.doc_id: r.spans for r in pii.detect(frame).collect()}
+    assert got[20] == "email:15:27" and got[21] == got[40] == got[60] == got[61] == ""
+    out = {r.doc_id: r for r in pii.redact(frame).collect()}
+    assert out[20].text == "on file: mail <[EMAIL]> now" and out[60].text == "we saw host77 there" and out[20]["__spans"] == 2 and out[20].more == 1
+    assert pii.redact(frame).columns == frame.columns
+
+
+def brute_instances(edges, against, rounds, confident):
+    seeds = {i: k for p, i, k, s in edges if s}
+    score = {(i, k): 1.0 for i, k in seeds.items()}
+    size = {}
+    for p, *_ in edges:
+        size[p] = size.get(p, pii.DOUBT) + 1
+    for p, n in against:
+        size[p] = size.get(p, pii.DOUBT) + n
+    for _ in range(rounds):
+        trust = {}
+        for p, i, _, _ in edges:
+            for k in range(4):
+                if (i, k) in score:
+                    trust[p, k] = trust.get((p, k), 0) + score[i, k]
+        trust = {(p, k): min(x / size[p], 1 - 1e-9) for (p, k), x in trust.items()}
+        miss = {}
+        for p, i, kind, seed in edges:
+            for k in range(4):
+                if not seed and (p, k) in trust and kind in (None, k):
+                    miss[i, k] = miss.get((i, k), 1.0) * (1 - trust[p, k])
+        score = {(i, k): 1.0 for i, k in seeds.items()} | {x: round(1 - m, 9) for x, m in miss.items()}
+    best = {}
+    for (i, k), s in sorted(score.items()):
+        if i not in seeds and s >= confident and s > best.get(i, (0, 0))[0]:
+            best[i] = (s, k)
+    return {(i, k) for i, (_, k) in best.items()}
+
+
+def test_graph_scores(spark):
+    r = np.random.default_rng(4)
+    for rounds in (1, 3):
+        kinds = {i: (int(r.integers(0, 4)), i % 2 == 0) for i in range(40)}
+        edges = {(int(r.integers(0, 12)), int(i), kinds[i][0] if kinds[i][1] or i % 3 else None, kinds[i][1]) for i in r.integers(0, 40, 200)}
+        edges |= {(50, i, 1, True) for i in (100, 102, 104, 106, 108)} | {(50, 101, 1, False), (50, 103, None, False), (51, 101, 1, False)}
+        against = [(p, int(r.integers(0, 6))) for p in range(0, 12, 3)] + [(51, 3)]
+        got = pii.instances(
+            spark.createDataFrame(sorted(edges, key=str), "pattern long, instance long, kind int, seed boolean"), spark.createDataFrame(against, "pattern long, n long"), rounds, 0.6
+        ).collect()
+        want = brute_instances(sorted(edges, key=str), against, rounds, 0.6)
+        assert {tuple(x) for x in got} == want and (101, 1) in want
+
+
+def test_strangers():
+    text = "  at home: +1 (200) 555-1000 or at home: 'x9-yy' at home: yes at home: a@b.cc, at home: Z1"
+    found, against = pii.strangers(text, lambda x: np.arange(x.size).reshape(x.shape) % 2 == 0)  # patterns of the words before only
+    words = [(m.span(), m.group()) for m in re.finditer(r"\S+", text)]
+    keys = [int(pii.patterns(*(np.array([x], np.uint64) for x in pii.context(text, *s)))[0, 0]) for s, _ in words]
+    phone = range(2, 5)
+    assert [(text[s:e], [x % 2**64 for x in p]) for _, s, e, p in found] == [("x9-yy", [keys[8]])]
+    assert sorted(against.tolist()) == sorted(keys[i] for i in range(len(words)) if i not in (*phone, 8, 14))
+
+
 # ---- 3, 6: token files ----
 
 
@@ -268,7 +347,7 @@ def test_token_scan_edges(spark, tmp_path):
     (tmp_path / "part-1.ids").write_bytes(b"")
     (tmp_path / "part-2.ids").write_bytes(np.array([9], "<u2").tobytes())
     got = sorted((r.file, r.seq, r.start, r.n_tokens) for r in token_scan.scan(spark, str(tmp_path), 9, block=4).collect())
-    assert got == [(0, 0, 0, 1), (0, 1, 2, 0), (0, 2, 3, 3), (2, 0, 0, 0)]
+    assert got == [("part-0.ids", 0, 0, 1), ("part-0.ids", 1, 2, 0), ("part-0.ids", 2, 3, 3), ("part-2.ids", 0, 0, 0)]
     assert token_scan.scan(spark, str(tmp_path / "none"), 9).count() == 0
     assert token_scan.count(empty(spark), scratch(spark, "test3")).count() == 0
     assert token_scan.count(docs(spark), scratch(spark, "test3")).count() == len(ROWS)
