@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,22 +14,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisium.session import ship
+from advisium.session import shared, ship
 
 #: Rows of text that one Arrow batch holds. Texts are whole, so this bounds a worker's memory.
 TEXT_ROWS = 256
 WS = "[\\x20\\x09-\\x0D]"
 NOT_WS = "[^\\x20\\x09-\\x0D]"
 #: Characters of a text whose words are held at once, and hashes of words that a worker keeps.
-BLOCK, CACHE = 1 << 20, 1 << 20
+BLOCK, CACHE = 1 << 20, 1 << 17
+#: A filter of hashes that tasks get has at most 2 ** BITS bits (8 MB); one that is too full lets more through to a join.
+BITS = 26
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Rows of a few numbers each that a broadcast may have (about 20 MB); more are joined by a shuffle.
+SMALL = 300_000
+#: Counters of a sketch that a row holds.
+SKETCH_ROW = 1 << 14
 _BREAK = re.compile("[\x20\x09-\x0D]")
 
 
 def ready(spark: SparkSession) -> None:
     """Checkpoints have a folder, workers can import this package, and text batches are small."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
@@ -36,7 +42,7 @@ def ready(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the one that the cluster shares (spark.checkpoint.dir)."""
     ready(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    top = shared(spark)
     return f"{top.rstrip('/')}/advisium/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -46,13 +52,18 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def remove(path: str) -> None:
+    """A folder or file goes, if it is there."""
     fs, p = filesystem(path)
-    if fs.get_file_info(p).type != pafs.FileType.NotFound:
+    kind = fs.get_file_info(p).type
+    if kind == pafs.FileType.File:
+        fs.delete_file(p)
+    elif kind != pafs.FileType.NotFound:
         fs.delete_dir(p)
 
 
 class AtomicFile:
-    """A file that appears under its name when it is whole, so a task that runs again or twice does no harm."""
+    """A file that appears under its name when it is whole. The last of two attempts wins, so a name is
+    for bytes that every attempt makes alike, or for one attempt alone."""
 
     def __init__(self, folder: str, name: str):
         self.fs, top = filesystem(folder)
@@ -90,6 +101,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, cut, and broadcast in joins if there are at most SMALL; so the texts that they are joined with stay where they are."""
+    rows = rows.checkpoint()
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; null is empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -146,3 +163,58 @@ def word_hashes(parts: Iterator[list]) -> np.ndarray:
     """Hashes of words that come in lists."""
     found = [np.fromiter(map(HASHES.__getitem__, x), np.uint64, len(x)) for x in parts]
     return np.concatenate(found) if len(found) > 1 else found[0]
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two words, in order."""
+    x = a * _M1 + (b ^ (b >> np.uint64(29))) * _M2
+    x = (x ^ (x >> np.uint64(32))) * _M3
+    return x ^ (x >> np.uint64(29))
+
+
+def bitmap(rows: DataFrame, name: str, most: int = BITS) -> tuple[int, np.ndarray]:
+    """A filter that all 64-bit hashes of a column pass: its bits as a power of two, and the bits."""
+    bits = min(most, max(12, (64 * rows.count()).bit_length()))
+    place = F.shiftrightunsigned(name, 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = rows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("x")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found["at"].to_numpy(np.int64)] = found["x"].to_numpy(np.int64).view(np.uint64)
+    return bits, table
+
+
+def passes(hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - bits)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+def sketch(rows: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """How often each of size counters is named by slots(batch), over all batches.
+
+    A task sends its counters in compressed rows of SKETCH_ROW, the same number whatever it has read;
+    they are added up by a shuffle, and the driver gets one set.
+    """
+    width = min(SKETCH_ROW, size)
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, np.int64)
+        for part in parts:
+            at = slots(part)
+            if len(at) * 8 > size:
+                seen += np.bincount(at, minlength=size)
+            else:
+                np.add.at(seen, at, 1)
+        found = [(k, zlib.compress(seen[k * width : (k + 1) * width].tobytes(), 1)) for k in range(size // width) if seen[k * width : (k + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["k", "data"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for part in parts:
+            for k, data in zip(part.column("k").to_pylist(), part.column("data").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "data"])
+
+    schema = "k int, data binary"
+    out = np.zeros(size, np.int64)
+    for k, data in rows.mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(data, np.int64)
+    return out
