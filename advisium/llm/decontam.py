@@ -28,19 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from advisium.llm.common import blocks, ready, signed, texts, word_hashes
+from advisium.llm.common import BITS, bitmap, blocks, few, pair, passes, ready, signed, texts, word_hashes
 
 #: Seeds that a document must hold of a long item, words of a part that counts as a leak, and words of an item that must be there whole.
 SEEDS, SPAN, SHORT = 3, 20, 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least alignment score as a share of the item's score against itself.
 THRESHOLD = 0.5
-#: The filter of seeds that tasks get has at most 2 ** BITS bits (8 MB); one that is too full lets more through to the join.
-BITS = 26
-#: Keys of 16 bytes that a broadcast may have.
-SMALL = 1_000_000
 _WORD = re.compile(r"\w+")
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def words(text: str) -> list[str]:
@@ -52,13 +47,6 @@ def hashes(text: str) -> np.ndarray:
     return word_hashes(words(x) for x in blocks(text))
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of each two words, in order."""
-    x = a * _M1 + (b ^ (b >> np.uint64(29))) * _M2
-    x = (x ^ (x >> np.uint64(32))) * _M3
-    return x ^ (x >> np.uint64(29))
-
-
 def alone(h: np.ndarray) -> np.ndarray:
     """The seed of a text of one word."""
     return pair(h, np.zeros_like(h))
@@ -188,31 +176,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema).withColumn("item", F.monotonically_increasing_id()).checkpoint()
 
 
-def _filter(seeds: DataFrame) -> tuple[int, np.ndarray]:
-    """The bits of a filter that all seeds pass, and how many are a seed's place."""
-    bits = min(BITS, max(12, (64 * seeds.count()).bit_length()))
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    rows = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("x")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["at"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64).view(np.uint64)
-    return bits, table
-
-
 def _held(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(t1, t2, seeds): the distinct seeds that each distinct text may hold; texts without any are left out."""
-    bits, table = _filter(seeds)
+    bits, table = bitmap(seeds, "seed", BITS)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    low = np.uint64(64 - bits)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
         for part in parts:
             found, rows = [], []
             for r, text in enumerate(texts(part)):
                 h = hashes(text)
                 every = np.concatenate([pair(h[:-1], h[1:]), pair(h[:-2], h[2:])]) if len(h) > 1 else alone(h)
-                at = every >> low
-                every = every[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+                every = every[passes(every, bits, sent.value)]
                 if len(every):
                     rows.append(r)
                     found.append(np.unique(every))
@@ -236,11 +211,6 @@ def _chosen(items: DataFrame, held: DataFrame) -> DataFrame:
     return ranked.where("before < choose and texts > 0").select("seed", "item", "n", "w", "need")
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """Keys of texts, which are broadcast if there are at most SMALL of them; else the texts are shuffled."""
-    return F.broadcast(keys) if keys.count() <= SMALL else keys
-
-
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(t1, t2, item_id, score, n_seeds): items that each distinct text holds."""
     ready(docs.sparkSession)
@@ -252,7 +222,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = held.select("t1", "t2", F.explode("seeds").alias("seed")).join(chosen, "seed")
     near = hits.groupBy("t1", "t2", "item", "n", "need").agg(F.sum("w").alias("w"), F.count("*").alias("n_seeds")).where("w >= need")
     near = near.groupBy("t1", "t2", "item").agg(F.max("n_seeds").cast("int").alias("n_seeds")).checkpoint()
-    keys = _small(near.select("t1", "t2").distinct().checkpoint())
+    keys = few(near.select("t1", "t2").distinct())
     whole = docs.select(*text_key(F.col("text")), "text").join(keys, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     pairs = near.join(items.select("item", "item_id", "words"), "item").join(whole, ["t1", "t2"])
 
@@ -286,9 +256,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null doc_ids stay null. Long texts are read whole, their words a block at a time. Other columns are
     not read. Without items or documents the result is empty.
     """
-    found = _found(docs, benchmark).checkpoint()
+    found = few(_found(docs, benchmark))
     rows = docs.select(F.col("doc_id").cast("long"), *text_key(F.col("text")))
-    return rows.join(_small(found), ["t1", "t2"]).select("doc_id", "item_id", "score", "n_seeds")
+    return rows.join(found, ["t1", "t2"]).select("doc_id", "item_id", "score", "n_seeds")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -296,6 +266,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts hold nothing and stay, as do null doc_ids; equal texts stay or go together.
     """
-    gone = _small(_found(docs, benchmark).select("t1", "t2").distinct().checkpoint())
+    gone = few(_found(docs, benchmark).select("t1", "t2").distinct())
     t1, t2 = text_key(docs["text"])
     return docs.join(gone, (t1 == gone["t1"]) & (t2 == gone["t2"]), "left_anti")
