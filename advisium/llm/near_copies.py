@@ -1,23 +1,22 @@
-"""Near copies by SimHash anchors, a prefix filter, and the exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash anchors, MinHash bands, and the exact Jaccard similarity of five-word shingles.
 
 Texts link if the similarity of their shingle sets is 0.8 or more. Candidates come in two ways. The
 anchors of simhash.py tie fingerprints of five-word shingles within two bits, which are the closest
-copies. At similarity 0.8 fingerprints differ in about ten bits, which no covering code reaches with
-few anchors; so a prefix filter ties all others, and no link is lost: in any one order of all shingles
-two such sets of n shingles share one among the first n - ceil(0.8 n) + 1 of both. The order is by how
-often a shingle stands in all documents, as a sketch of SKETCH counters tells, so common passages come
-last; the sketch decides what is compared, never what links. Of the sets that share a shingle of their
-prefixes, in order of size, each is tied to the one before it if 0.8 of its size is reached, so a
-shingle makes fewer rows than it has texts.
-
-The components of these ties hold every link. Each is checked on whole sets: in one task if it has at
-most WEIGHT shingles, else in pairs of blocks of about that many, so a task's memory has a bound and a
-group of any size is checked whole. Of the links that a task finds it returns a tree.
+copies. At similarity 0.8 fingerprints differ in about ten bits, and no covering code reaches those with
+few anchors. So BANDS keys of each set tie the rest, each of the least values of ROWS permutations of
+its shingles: two sets of similarity s share a key but with probability (1 - s ** ROWS) ** BANDS, which
+is under 3e-7 at 0.8 and less above. Of the sets of a key, in order of size, each is tied to the one
+before it if 0.8 of its size is reached, so a key makes fewer rows than it has texts.
+
+The components of these ties hold every link. First each set is held against one that it is tied to: a
+group that this joins already, such as one of close copies of any number, is done. What is left is
+checked on whole sets: a component in one task if it has at most WEIGHT shingles, else in pairs of
+blocks of about half of that, so a task's memory has a bound and a group of any size is checked whole.
+Of the links that a task finds it returns a tree.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advisium.llm import simhash
-from advisium.llm.common import blocks, ready, signed, texts, word_hashes
+from advisium.llm.common import blocks, few, remove, scratch, signed, texts, word_hashes
 from advisium.llm.components import components
 
 #: Similarity as a fraction: whole numbers have no rounding.
 SHINGLE, OVER, UNDER = 5, 4, 5
-#: Counters of the sketch, as a power of two (8 MB), and how many of them a row holds.
-SKETCH, ROW = 20, 12
-#: Shingles that a block of a component has at most, or one text if it has more.
-WEIGHT = 4_000_000
+#: Keys of a set, and permutations for each.
+BANDS, ROWS = 50, 6
+#: Shingles that are checked together at most, or two texts if they have more.
+WEIGHT = 1_500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -67,48 +67,29 @@ def prefix(found: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, rank))[: len(found) - least + 1]]
 
 
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """How many shingle sets of all documents have a shingle, summed for shingles of equal first bits."""
-    low, width = np.uint64(64 - SKETCH), 1 << min(ROW, SKETCH)
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH, np.int64)
-        for part in parts:
-            found = [shingles(t) for t in texts(part)]
-            seen += np.bincount((np.concatenate(found) >> low).astype(np.int64) if found else [], minlength=1 << SKETCH).astype(np.int64)
-        rows = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(seen.reshape(-1, width)) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["k", "data"])
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for part in parts:
-            for k, data in zip(part.column("k").to_pylist(), part.column("data").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "data"])
-
-    schema = "k int, data binary"
-    out = np.zeros(((1 << SKETCH) // width, width), np.int64)
-    for k, data in docs.select("text").mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
-        out[k] = np.frombuffer(data, np.int64)
-    return out.ravel()
+def bands(found: np.ndarray) -> np.ndarray:
+    """The keys of a set; an empty set has none."""
+    if not len(found):
+        return found
+    step = max(1, (1 << 17) // len(found))
+    least = [(np.bitwise_xor.outer(_MIX[0, k : k + step], found) * _MIX[1, k : k + step, None]).min(axis=1) for k in range(0, BANDS * ROWS, step)]
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _M2
+    for x in np.concatenate(least).reshape(BANDS, ROWS).T:
+        out = (out ^ x) * _M1
+        out ^= out >> np.uint64(32)
+    return out
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, h, n, fp, keys): t a hash of the text, h and n of the shingle set, fp its fingerprint, keys its prefix."""
-    sent, low = docs.sparkSession.sparkContext.broadcast(_sketch(docs)), np.uint64(64 - SKETCH)
+    """(doc_id, t, h, n, fp, keys): t a hash of the text, h and n of the shingle set, fp its fingerprint, keys its bands."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            hashes, sizes, fps, firsts = [], [], [], []
-            for text in texts(part):
-                found = shingles(text)
-                hashes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                sizes.append(len(found))
-                fps.append(simhash.majority(found))
-                firsts.append(signed(prefix(found, sent.value[(found >> low).astype(np.int64)])))
+            found = [shingles(text) for text in texts(part)]
             long = lambda x: pa.array(signed(np.array(x, np.uint64)))
-            cols = [part.column("doc_id"), part.column("t"), long(hashes), pa.array(sizes, pa.int32()), long(fps), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "h", "n", "fp", "keys"])
+            cols = [long([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found]), pa.array([len(x) for x in found], pa.int32()), long([simhash.majority(x) for x in found])]
+            keys = pa.array([signed(bands(x)) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *cols, keys], ["doc_id", "t", "h", "n", "fp", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, h long, n int, fp long, keys array<long>")
 
@@ -184,8 +165,27 @@ def groups(found: dict[int, np.ndarray]) -> dict[int, int]:
     return {h: top(h) for h in order}
 
 
+def _sets(rows: DataFrame) -> DataFrame:
+    """(h, n, set) of rows(h, text); rows that repeat an h give it once."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [shingles(text) for text in texts(part)]
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array([len(x) for x in found], pa.int32()), pa.array(map(signed, found), pa.list_(pa.int64()))], ["h", "n", "set"])
+
+    return rows.mapInArrow(run, "h long, n int, set array<long>").dropDuplicates(["h"])
+
+
+def _first(ties: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links among one tie of each set."""
+    one = ties.groupBy("a").agg(F.min("b").alias("b"))
+    end = lambda x: sets.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
+    both = one.join(end("a"), "a").join(end("b"), "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where(F.col("both") * UNDER >= OVER * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
 def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): the checked links of each unit's sets, as trees; rows(root, i, j, h, text)."""
+    """(a, b): the checked links of each unit's sets, as trees; rows(root, i, j, h, set)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -197,12 +197,13 @@ def _links(rows: DataFrame) -> DataFrame:
 
         for part in parts:
             units = zip(*(part.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
-            for unit, h, text in zip(units, part.column("h").to_pylist(), texts(part), strict=True):
+            column = part.column("set")
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for k, (unit, h) in enumerate(zip(units, part.column("h").to_pylist(), strict=True)):
                 if unit != at:
                     yield from out()
                     at, held = unit, {}
-                if h not in held:
-                    held[h] = shingles(text)
+                held[h] = flat[ends[k] : ends[k + 1]].view(np.uint64).copy()
         yield from out()
 
     return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
@@ -210,7 +211,7 @@ def _links(rows: DataFrame) -> DataFrame:
 
 def _units(sets: DataFrame) -> DataFrame:
     """rows(root, h, n, ...) with i and j: the pair of blocks that a row is checked in, each pair of them once."""
-    m = F.greatest(F.lit(1), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    m = F.when(F.col("weight") <= WEIGHT, 1).otherwise(F.ceil(2 * F.col("weight") / WEIGHT)).cast("int")
     weights = sets.groupBy("root").agg(F.sum("n").alias("weight")).select("root", m.alias("m")).checkpoint()
     own = F.pmod(F.xxhash64("h"), F.col("m")).cast("int")
     spread = sets.join(weights, "root").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -226,6 +227,40 @@ def _anchored(sets: DataFrame) -> DataFrame:
     return tied.union(sets.join(least, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b")))
 
 
+def _gone(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(d, t) of the rows that go, and whether any row is repeated."""
+    spark = docs.sparkSession
+    top = scratch(spark, "near")
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    # a table of columns: most of what follows does not read the keys, which are nearly all of it
+    _marked(named).write.parquet(top)
+    marked = spark.read.parquet(top)
+    ties = _ties(marked.select(F.explode("keys").alias("key"), "n", "h")).union(_anchored(marked.select("h", "fp").distinct())).checkpoint()
+    roots = components(ties).select(F.col("node").alias("h"), "root").checkpoint()
+
+    least = marked.groupBy("h").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    firsts = marked.select("h", "n", "doc_id", "t").join(least, ["h", "doc_id"]).groupBy("h", "n", "doc_id").agg(F.min("t").alias("t")).checkpoint()
+    tied = few(firsts.join(roots, "h").select("h", F.col("doc_id").alias("d"), "t"))
+    texts_of = named.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text").join(tied, ["d", "t"]).select("h", "text")
+    sets = _sets(texts_of).checkpoint()
+    # a component that one tie of each set joins already is done
+    found = _first(ties, sets).checkpoint()
+    label = components(found).select(F.col("node").alias("h"), F.col("root").alias("label"))
+    labelled = roots.join(label, "h", "left").withColumn("label", F.coalesce("label", "h")).checkpoint()
+    left = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root").checkpoint()
+    close = _units(firsts.select("h", "n").join(labelled.join(left, "root", "left_semi"), "h")).select("root", "i", "j", "h")
+    links = found.union(_links(close.join(sets.select("h", "set"), "h")))
+    final = components(links).select(F.col("node").alias("h"), F.col("root").alias("final"))
+
+    firsts = firsts.join(final, "h", "left").select("h", F.coalesce("final", "h").alias("final"), F.struct("doc_id", "t").alias("first")).checkpoint()
+    kept = firsts.groupBy("final").agg(F.min("first").alias("kept")).checkpoint()
+    kept = firsts.join(kept, "final").select("h", "kept").checkpoint()
+    gone = few(marked.select("h", "doc_id", "t").join(kept, "h").where(F.struct("doc_id", "t") != F.col("kept")).select(F.col("doc_id").alias("d"), "t").distinct())
+    repeated = not marked.groupBy("doc_id", "t").count().where("count > 1").isEmpty()
+    remove(top)
+    return gone, repeated
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group that links join, with all its columns: of its smallest doc_id.
 
@@ -236,24 +271,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     names, are kept and not read. Sets are told apart by 64 bits: of n sets two agree by chance with
     probability n^2 / 2^65.
     """
-    ready(docs.sparkSession)
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    marked = _marked(named).checkpoint()
-    sets = marked.select("h", "n", "fp", "keys").dropDuplicates(["h"]).checkpoint()
-    ties = _ties(sets.select(F.explode("keys").alias("key"), "n", "h")).union(_anchored(sets.select("h", "fp")))
-    roots = components(ties).select(F.col("node").alias("h"), "root").checkpoint()
-
-    least = marked.groupBy("h").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    firsts = marked.select("h", "n", "doc_id", "t").join(least, ["h", "doc_id"]).groupBy("h", "n", "doc_id").agg(F.min("t").alias("t")).checkpoint()
-    close = _units(firsts.join(roots, "h")).select("root", "i", "j", "h", F.col("doc_id").alias("d"), "t")
-    whole = named.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text").dropDuplicates(["d", "t"])
-    final = components(_links(close.join(whole, ["d", "t"]).select("root", "i", "j", "h", "text"))).select(F.col("node").alias("h"), F.col("root").alias("final"))
-
-    firsts = firsts.join(final, "h", "left").select("h", F.coalesce("final", "h").alias("final"), F.struct("doc_id", "t").alias("first")).checkpoint()
-    kept = firsts.groupBy("final").agg(F.min("first").alias("kept")).checkpoint()
-    kept = firsts.join(kept, "final").select("h", "kept").checkpoint()
-    gone = marked.select("h", "doc_id", "t").join(kept, "h").where(F.struct("doc_id", "t") != F.col("kept")).select(F.col("doc_id").alias("d"), "t").distinct()
+    gone, repeated = _gone(docs)
     left = docs.join(gone, (docs["doc_id"].cast("long") == gone["d"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left_anti")
-    if marked.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+    if not repeated:
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))

@@ -57,11 +57,20 @@ def test_stage_takes_copies_of_four_fifths(spark):
     assert far  # copies that no pair of fingerprints within two bits shows
 
 
-def test_order_is_only_for_speed(spark, monkeypatch):
-    rows = corpus()
-    monkeypatch.setattr(near_copies, "SKETCH", 1)
-    got = sorted(r.doc_id for r in near_copies.deduplicate(frame(spark, rows)).collect())
-    assert got == sorted(set(brute(rows)))
+def test_bands_hold_all_links():
+    """Sets of similarity 0.8 share a key, but for fewer than one pair in a million; those of 0.1 nearly never do."""
+    r = np.random.default_rng(6)
+    for n in (5, 12, 40, 300):
+        shared = 0
+        for _ in range(300):
+            pool = r.integers(0, 1 << 63, n + n, np.uint64)
+            k = max(1, n // 10)  # n - k in common of n + k: just over 0.8
+            a, b = np.unique(pool[:n]), np.unique(pool[k : n + k])
+            assert not near_copies.alike(a, b) or np.intersect1d(near_copies.bands(a), near_copies.bands(b)).size
+            c = np.unique(np.concatenate([pool[: n // 5], pool[n : n + n - n // 5]]))
+            shared += bool(np.intersect1d(near_copies.bands(a), near_copies.bands(c)).size)
+        assert n < 12 or shared < 10
+    assert near_copies.bands(near_copies.shingles("")).size == 0 and near_copies.bands(near_copies.shingles("a")).size == near_copies.BANDS
 
 
 def test_rows_not_ids(spark):
