@@ -33,7 +33,7 @@ from advisium.llm.common import ready, texts
 
 MODEL, SPACE = "piece_bpe_32k.model", "▁"
 #: Words that each of a worker's two caches keeps; the older is dropped when the newer is full.
-CACHE = 600_000
+CACHE = 220_000
 #: How far a character without a piece is under the worst piece, as in the public library.
 UNKNOWN = 10.0
 #: Bytes of words that go through the automaton side by side, padding included.
@@ -63,7 +63,7 @@ class Automaton:
                 at = nxt
             ends[at] = (len(data), score, i)
         n = len(tree)
-        self.go = np.zeros((n, 256), np.int32)
+        self.go = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         self.size, self.score, self.piece = np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int64)
         for at, (size, score, i) in ends.items():
             self.size[at], self.score[at], self.piece[at] = size, score, i
