@@ -243,8 +243,16 @@ pt AS (SELECT fs.*, epss, in_kev, b.site, b.purdue_level, CASE WHEN in_kev THEN
 #: cl(rt, vt0, said): how a range and an asset's version are told.
 SAID = """
 told AS (SELECT rt, string_agg(op || vraw, ' and ' ORDER BY k) AS tells FROM rc GROUP BY rt),
-cl AS (SELECT r.rt, q.vt0, CASE WHEN kind = 'UNPARSEABLE' THEN 'version range ''' || raw || ''' unparseable (' || note || ')' WHEN kind <> 'ALL' AND q.num IS NULL THEN 'asset version ''' || CASE WHEN q.vt0 = '' THEN '(blank)' ELSE q.vt0 END || ''' unparseable'
+cl AS MATERIALIZED (SELECT r.rt, q.vt0, CASE WHEN kind = 'UNPARSEABLE' THEN 'version range ''' || raw || ''' unparseable (' || note || ')' WHEN kind <> 'ALL' AND q.num IS NULL THEN 'asset version ''' || CASE WHEN q.vt0 = '' THEN '(blank)' ELSE q.vt0 END || ''' unparseable'
   WHEN kind = 'ALL' THEN 'all versions affected' ELSE tells END AS said FROM r CROSS JOIN asked q LEFT JOIN told ON told.rt = r.rt)"""
+
+
+def told(f: str) -> str:
+    """CTE: sd(asset_ord, advisory_id, said) for each finding; made first, as joins in another order are of all ranges with all assets."""
+    return f"""sp AS MATERIALIZED (SELECT f.asset_ord, f.advisory_id, l.version_text AS rt, a.version AS vt0 FROM {f} f JOIN a ON a.asset_ord = f.asset_ord JOIN l ON l.adv_ord = f.adv_ord AND l.prod_ord = f.prod_ord),
+sd AS MATERIALIZED (SELECT asset_ord, advisory_id, said FROM sp JOIN cl USING (rt, vt0))"""
+
+
 _OPEN = "CASE WHEN in_range THEN said ELSE said || '; version unconfirmed' END"
 
 
@@ -263,11 +271,11 @@ def basis(f: str = "f", decided: bool = False) -> str:
 
 _CODES = lambda x: f"map([{', '.join(map(lit, CODES))}], [{', '.join(map(lit, CODES.values()))}])[{x}]"
 #: t22: the fields of a finding, of SCORED.
-TEXTS = f"""{SAID},
+TEXTS = f"""{SAID}, {told("dd")},
 kh AS (SELECT asset_ord, advisory_id, list(cve ORDER BY pos) AS hits FROM (SELECT asset_ord, advisory_id, cve, min(pos) AS pos FROM (SELECT asset_ord, advisory_id, unnest(cves) AS cve, generate_subscripts(cves, 1) AS pos FROM fs) GROUP BY ALL) WHERE cve IN (SELECT cve FROM kev) GROUP BY ALL),
 t22 AS (SELECT dd.asset_id, dd.site, dd.purdue_level, dd.advisory_id, b_adv.title AS advisory_title, b_adv.tlp, array_to_string(cves, ' ') AS cves, cvss, cvss_vector, round(epss, 6) AS epss, in_kev, priority,
   'SSVCv2/E:' || {_CODES("exploitation")} || '/X:' || {_CODES("exposure")} || '/U:' || {_CODES("utility")} || '/H:' || {_CODES("impact")} || '/D:' || {_CODES("action")} AS ssvc_vector, action AS ssvc_action,
   CASE exploitation WHEN 'active' THEN 'in CISA KEV (' || array_to_string(hits[1:3], ', ') || ')' WHEN 'poc' THEN 'EPSS ' || printf('%.1f', epss * 100) || '%' ELSE 'no exploitation signal' END || ', ' || CASE WHEN cvss IS NULL THEN 'no CVSS' ELSE 'CVSS ' || printf('%.1f', cvss) END
     || ', ' || exposure || ' exposure' || CASE WHEN dd.purdue_level <> '' THEN ' at Purdue level ' || dd.purdue_level ELSE '' END || CASE WHEN priority = 'TRACK' THEN ', no vendor patch, compensating controls only' ELSE '' END AS rationale,
   dd.tier AS match_tier, round(dd.confidence, 6) AS confidence, dd.verdict, {basis("dd")} AS match_basis, l.vendor, l.product_name AS product, trim(l.version_text) AS version_range
-  FROM dd JOIN a ON a.asset_ord = dd.asset_ord JOIN l ON l.adv_ord = dd.adv_ord AND l.prod_ord = dd.prod_ord JOIN b_adv ON b_adv.adv_ord = dd.adv_ord JOIN cl ON cl.rt = l.version_text AND cl.vt0 = a.version LEFT JOIN kh ON kh.asset_ord = dd.asset_ord AND kh.advisory_id = dd.advisory_id)"""
+  FROM dd JOIN a ON a.asset_ord = dd.asset_ord JOIN l ON l.adv_ord = dd.adv_ord AND l.prod_ord = dd.prod_ord JOIN b_adv ON b_adv.adv_ord = dd.adv_ord JOIN sd ON sd.asset_ord = dd.asset_ord AND sd.advisory_id = dd.advisory_id LEFT JOIN kh ON kh.asset_ord = dd.asset_ord AND kh.advisory_id = dd.advisory_id)"""

@@ -398,10 +398,10 @@ def last_runs(spark, sf_dir):
     return history.last_runs(bridge.runs(spark, sf_dir).select("label", F.col("run").alias("run_id")).distinct(), "click")
 
 
-_VEX = f"""{oracles.found(4, True, True)}, {oracles.SCORES}, {oracles.SAID}, ru AS (SELECT DISTINCT vk, afull, lfull, raw, decision FROM dec WHERE decision <> 'DEFERRED'),
+_VEX = f"""{oracles.found(4, True, True)}, {oracles.SCORES}, {oracles.SAID}, {oracles.told("fs")}, ru AS (SELECT DISTINCT vk, afull, lfull, raw, decision FROM dec WHERE decision <> 'DEFERRED'),
 vx AS (SELECT DISTINCT unnest(cves) AS cve, CASE fs.verdict WHEN 'AFFECTED' THEN 'affected' WHEN 'NOT_AFFECTED' THEN 'not_affected' ELSE 'under_investigation' END AS status,
   CASE WHEN fs.verdict <> 'NOT_AFFECTED' THEN '' WHEN stage = 0 AND d.decision = 'REJECTED' THEN 'component_not_present' ELSE 'vulnerable_code_not_present' END AS justification, fs.asset_id, fs.advisory_id, {oracles.basis("fs", True)} AS basis, a.vendor, a.product, a.version, a.model
-  FROM fs JOIN a ON a.asset_ord = fs.asset_ord JOIN l ON l.adv_ord = fs.adv_ord AND l.prod_ord = fs.prod_ord JOIN cl ON cl.rt = l.version_text AND cl.vt0 = a.version LEFT JOIN ru d ON stage = 0 AND d.vk = a_vk AND d.afull = a_full AND d.lfull = l_full)"""
+  FROM fs JOIN a ON a.asset_ord = fs.asset_ord JOIN l ON l.adv_ord = fs.adv_ord AND l.prod_ord = fs.prod_ord JOIN sd ON sd.asset_ord = fs.asset_ord AND sd.advisory_id = fs.advisory_id LEFT JOIN ru d ON stage = 0 AND d.vk = a_vk AND d.afull = a_full AND d.lfull = l_full)"""
 
 
 def _vex(spark, sf_dir):
