@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,6 @@ BITS = 26
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 #: Rows of a few numbers each that a broadcast may have (about 20 MB); more are joined by a shuffle.
 SMALL = 300_000
-#: Counters of a sketch that a row holds.
-SKETCH_ROW = 1 << 14
 _BREAK = re.compile("[\x20\x09-\x0D]")
 
 
@@ -172,9 +169,9 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bitmap(rows: DataFrame, name: str, most: int = BITS) -> tuple[int, np.ndarray]:
+def bitmap(rows: DataFrame, name: str, most: int = BITS, least: int = 12) -> tuple[int, np.ndarray]:
     """A filter that all 64-bit hashes of a column pass: its bits as a power of two, and the bits."""
-    bits = min(most, max(12, (64 * rows.count()).bit_length()))
+    bits = min(most, max(least, (64 * rows.count()).bit_length()))
     place = F.shiftrightunsigned(name, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     found = rows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("x")).toPandas()
@@ -186,35 +183,3 @@ def bitmap(rows: DataFrame, name: str, most: int = BITS) -> tuple[int, np.ndarra
 def passes(hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
     at = hashes >> np.uint64(64 - bits)
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-def sketch(rows: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """How often each of size counters is named by slots(batch), over all batches.
-
-    A task sends its counters in compressed rows of SKETCH_ROW, the same number whatever it has read;
-    they are added up by a shuffle, and the driver gets one set.
-    """
-    width = min(SKETCH_ROW, size)
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
-        for part in parts:
-            at = slots(part)
-            if len(at) * 8 > size:
-                seen += np.bincount(at, minlength=size)
-            else:
-                np.add.at(seen, at, 1)
-        found = [(k, zlib.compress(seen[k * width : (k + 1) * width].tobytes(), 1)) for k in range(size // width) if seen[k * width : (k + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["k", "data"])
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for part in parts:
-            for k, data in zip(part.column("k").to_pylist(), part.column("data").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["k", "data"])
-
-    schema = "k int, data binary"
-    out = np.zeros(size, np.int64)
-    for k, data in rows.mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
-        out[k * width : (k + 1) * width] = np.frombuffer(data, np.int64)
-    return out

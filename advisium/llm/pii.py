@@ -10,10 +10,8 @@ Spark scores this graph in rounds. A pattern trusts a kind by the summed score o
 kind over all that stands there; an instance is of a kind by a noisy-or of its patterns. Seeds are of
 their kind; a looser form may be of its own kind only, any other word of each. What reaches CONFIDENT
 is added. Patterns and instances are 64-bit hashes; edges are distinct before they are scored, so
-copies and common words add no weight to a task.
-
-A pattern at which more other words stand than LOOSE times its mentions is left out before that scan,
-as a sketch of all documents tells: its trust would be under 1 / (1 + LOOSE).
+copies and common words add no weight to a task. No pattern is left out for what stands at it: many
+of little trust can make an instance confident together, and words found there can raise their trust.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advisium.llm.common import bitmap, few, pair, passes, ready, signed, sketch, texts
+from advisium.llm.common import bitmap, few, pair, passes, ready, signed, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENT = 3, 0.8
@@ -134,9 +132,10 @@ class _Words(dict):
 
 
 _WORDS = _Words()
-#: Other words that a pattern may have for each of its mentions, and counters of the sketch: four rows of 2 ** SKETCH (8 MB).
-LOOSE, SKETCH = 4, 18
-_ROWS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Counts of patterns that a task holds before it sends them on, to be added up by a shuffle.
+HELD = 1 << 18
+#: A filter of patterns has at least 2 ** LEAST_BITS bits (128 KB).
+LEAST_BITS = 20
 #: What stands before the first word and after the last.
 _FIRST, _LAST = 2, 4
 _AROUND = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -147,6 +146,11 @@ def patterns(left: np.ndarray, near: np.ndarray, right: np.ndarray) -> np.ndarra
     return np.stack([pair(left, near), pair(near, right) ^ _AROUND], axis=1)
 
 
+def swapped(x: np.ndarray) -> np.ndarray:
+    """Hashes with their halves in the other order."""
+    return x << np.uint64(32) | x >> np.uint64(32)
+
+
 def _hash(*parts: str) -> int:
     x = xxhash.xxh64_intdigest("\0".join(parts))
     return x - (x >> 63 << 64)
@@ -204,37 +208,6 @@ def _places(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, h, patterns(near[:-2], near[1:-1], np.concatenate([h[1:], np.array([_LAST], np.uint64)]))
 
 
-def _rows(x: np.ndarray) -> np.ndarray:
-    """A pattern's counter in each row of the sketch."""
-    return np.concatenate([(x * m >> np.uint64(64 - SKETCH)).astype(np.int64) + (k << SKETCH) for k, m in enumerate(_ROWS)])
-
-
-def promising(docs: DataFrame, hopeful: DataFrame) -> DataFrame:
-    """(pattern) of hopeful(pattern, k), k the places of its mentions: those at which no more than LOOSE other words stand for each mention.
-
-    The sketch counts all places of hopeful patterns, so a counter is never too low; with more patterns
-    than it can tell apart none is left out.
-    """
-    if hopeful.count() > 2 << SKETCH:
-        return hopeful.select("pattern")
-    bits, table = bitmap(hopeful, "pattern")
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def slots(part: pa.RecordBatch) -> np.ndarray:
-        here = np.concatenate([_places(t)[2].ravel() for t in texts(part)] or [np.empty(0, np.uint64)])
-        return _rows(here[passes(here, bits, sent.value)])
-
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), slots, len(_ROWS) << SKETCH))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            x, k = (part.column(c).to_numpy(zero_copy_only=False) for c in ("pattern", "k"))
-            least = counts.value[_rows(x.view(np.uint64))].reshape(len(_ROWS), -1).min(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[least <= (1 + LOOSE) * k])], ["pattern"])
-
-    return hopeful.select("pattern", "k").mapInArrow(run, "pattern long")
-
-
 def strangers(text: str, sought) -> tuple[list[tuple[int, int, int, list[int]]], np.ndarray]:
     """What stands at some patterns besides mentions: (instance, start, stop, patterns) of words that may
     be identifiers, and the patterns at which another word stands, each time. sought: which of an array of
@@ -266,13 +239,25 @@ def strangers(text: str, sought) -> tuple[list[tuple[int, int, int, list[int]]],
 
 
 def others(docs: DataFrame, hopeful: DataFrame) -> DataFrame:
-    """What strangers() tells of all texts at patterns that pass a filter of the hopeful ones: rows (doc_id, h, start, stop,
-    instance, pattern), and for the counts (pattern, n) with the others null."""
-    bits, table = bitmap(hopeful, "pattern")
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    """What strangers() tells of all texts at patterns that pass filters of the hopeful ones: rows (doc_id, h, start, stop,
+    instance, pattern), and for the counts (pattern, n) with the others null; a pattern's counts may come in parts."""
+    # two filters, of both halves of a pattern: the places that one alone lets through grow faster than the texts
+    halves = F.call_function("shiftleft", "pattern", F.lit(32)).bitwiseOR(F.shiftrightunsigned("pattern", 32))
+    filters = [bitmap(hopeful.select(x.alias("x")), "x", least=LEAST_BITS) for x in (F.col("pattern"), halves)]
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def wanted(x: np.ndarray) -> np.ndarray:
+        one, two = sent.value
+        out = passes(x, *one)
+        out[out] = passes(swapped(x[out]), *two)
+        return out
+
+    def counted(against: dict[int, int]) -> pa.RecordBatch:
+        none = pa.nulls(len(against), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(signed(np.array(list(against), np.uint64))), pa.array(list(against.values()), pa.int64())], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, against = (lambda x: passes(x, bits, sent.value)), {}
+        against = {}
         for part in parts:
             rows, plain = [], []
             for doc_id, h, text in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), texts(part), strict=True):
@@ -283,9 +268,11 @@ def others(docs: DataFrame, hopeful: DataFrame) -> DataFrame:
                 against[p] = against.get(p, 0) + n
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            if len(against) > HELD:
+                yield counted(against)
+                against = {}
         if against:
-            none = pa.nulls(len(against), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(signed(np.array(list(against), np.uint64))), pa.array(list(against.values()), pa.int64())], names)
+            yield counted(against)
 
     names = ["doc_id", "h", "start", "stop", "instance", "pattern", "n"]
     return docs.select(F.col("doc_id").cast("long"), _text_key().alias("h"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
@@ -325,8 +312,6 @@ def discovered(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confiden
     edges = edges.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed")).checkpoint()
     # a pattern of fewer mentions can't be trusted
     hopeful = edges.groupBy("pattern").count().where(F.col("count") >= SUPPORT).select("pattern").checkpoint()
-    places = mentions.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("k"))
-    hopeful = promising(docs, places.join(hopeful, "pattern").checkpoint()).checkpoint()
     known = edges.join(hopeful, "pattern", "left_semi")
     if hopeful.isEmpty():
         beside = docs.sparkSession.createDataFrame([], "doc_id long, h long, start long, stop long, instance long, pattern long, n long")

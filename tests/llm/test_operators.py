@@ -205,6 +205,18 @@ def test_words_in_trusted_contexts(spark):
     assert pii.redact(frame).columns == frame.columns
 
 
+def test_patterns_of_little_trust_count_together(spark, monkeypatch):
+    """Patterns at which over four other words stand for each mention are none the less scored, whatever their number."""
+    rows = []
+    for c in "abcdef":  # each pattern's trust is 4 / 23 at first, and 1 - (19 / 23) ** 12 is over 0.8
+        rows += [f"we {c}saw {x}" for x in [f"10.0.0.{i}" for i in range(4)] + [f"w{chr(97 + i)}" for i in range(17)] + ["host77"]]
+    rows = list(enumerate([*rows, "so host77"]))
+    for held in (pii.HELD, 1):  # counts that are sent on in parts add up
+        monkeypatch.setattr(pii, "HELD", held)
+        got = [(r.doc_id, r.spans) for r in pii.detect(docs(spark, rows)).where("n_found > 0").collect()]
+        assert sorted(got) == [(i, "ip:8:14") for i, t in rows if t.endswith("saw host77")]
+
+
 def brute_instances(edges, against, rounds, confident):
     seeds = {i: k for p, i, k, s in edges if s}
     score = {(i, k): 1.0 for i, k in seeds.items()}
