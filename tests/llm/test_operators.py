@@ -288,6 +288,23 @@ def test_words_are_encoded_as_texts(text):
     assert np.frombuffer(enc([text])[0], enc.dtype).tolist() == plain_ids([text])[0]
 
 
+def test_library_sees_letters_once_and_few_words_at_a_time():
+    """Marks behind letters are put together with them, and new words come in short texts."""
+    enc, seen = tokens.WordEncoder(public_tokenizers.path(token_files.TOKENIZER), False), []
+
+    class Recorded:
+        def encode_batch_fast(self, found, library=enc.tokenizer, **options):
+            seen.extend(found)
+            return library.encode_batch_fast(found, **options)
+
+    enc.tokenizer = Recorded()
+    some = ["zorble zorble, zorble,%%% (zorb zorble*** zorble's", "a\nzorble&&& zorble_ zörble,... zorble\nzorble", " ".join(f"zo{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(some)] == plain_ids(some)
+    words = [w for text in seen for w in text.split()]
+    assert words.count("zorble") == 2 and not any(w.endswith(("%", "*", "&")) and w[0] == "z" for w in words)  # behind a space and behind a break
+    assert max(len(text.split()) for text in seen) <= tokens.TOGETHER
+
+
 def test_word_cache_renews(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     enc = tokens.WordEncoder(public_tokenizers.path(token_files.TOKENIZER), False)
