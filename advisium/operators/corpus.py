@@ -115,18 +115,20 @@ def scores(pairs: DataFrame, vulns: DataFrame) -> DataFrame:
 def status_gate(vulns: DataFrame) -> DataFrame:
     """(advisory_id, product_id, keep, gate_note) by what the vendor states; a missing pair is kept."""
     stated = vulns.select("advisory_id", F.explode("status").alias("name", "ids")).where(F.col("name").isin(*STATUSES))
-    stated = stated.select("advisory_id", "name", F.explode("ids").alias("product_id"))
-    said = {s: F.bool_or(F.col("name") == s).alias(s) for s in STATUSES}
-    flags = stated.groupBy("advisory_id", "product_id").agg(*said.values())
-    affected = F.col("known_affected") | F.col("first_affected") | F.col("last_affected")
+    stated = stated.select("advisory_id", F.array_position(F.array(*map(F.lit, STATUSES)), F.col("name")).cast("int").alias("n"), F.explode("ids").alias("product_id"))
+    # one number for all that is stated of a product, as what an aggregate holds is what a task's memory holds
+    flags = stated.groupBy("advisory_id", "product_id").agg(F.bit_or(F.expr("shiftleft(1, n - 1)")).alias("said"))
+    said = lambda *names: F.col("said").bitwiseAND(sum(1 << STATUSES.index(x) for x in names)) != 0
+    affected = said("known_affected", "first_affected", "last_affected")
+    open_, clean, fixed = said("under_investigation"), said("known_not_affected"), said("fixed", "first_fixed")
     note = (
         F.when(affected, "")
-        .when(F.col("under_investigation"), "vendor lists this product as under investigation")
-        .when(F.col("known_not_affected"), "vendor states not affected")
-        .when(F.col("fixed") | F.col("first_fixed"), "vendor lists this product version as fixed")
+        .when(open_, "vendor lists this product as under investigation")
+        .when(clean, "vendor states not affected")
+        .when(fixed, "vendor lists this product version as fixed")
         .otherwise("")
     )
-    clear = ~affected & ~F.col("under_investigation") & (F.col("known_not_affected") | F.col("fixed") | F.col("first_fixed"))
+    clear = ~affected & ~open_ & (clean | fixed)
     return flags.select("advisory_id", "product_id", (~clear).alias("keep"), note.alias("gate_note"))
 
 
