@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from advisium.operators import corpus as C
 from advisium.operators import match
+from advisium.session import kept
 from tests.factories import assets, corpus, decisions, leaf, vuln
 
 
@@ -196,3 +197,18 @@ def test_salted_vendors(spark, monkeypatch):
     assert q.where("vendor_key = 'a'").select("salt").distinct().count() > 10
     got = sorted((r.n, r.k) for r in p.join(q, ["vendor_key", "salt"]).collect())
     assert got == sorted([(i, f"k{k}") for i in range(30) for k in range(40)] + [(100, "z")])
+
+
+def test_gate_holds_one_number(spark):
+    """What is stated of a product is gathered as bits of one number, not as a column for each status."""
+    c = corpus(spark, ("A", [leaf("P1"), leaf("P2"), leaf("P3")], [vuln(fixed=["P1"], known_not_affected=["P2"]), vuln(first_fixed=["P3"], under_investigation=["P3"])]))
+    out = C.status_gate(c.vulns)
+    assert {r.product_id: (r.keep, "lists" in r.gate_note) for r in out.collect()} == {"P1": (False, True), "P2": (False, False), "P3": (True, True)}
+    assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString() and "bool_or" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_kept(spark):
+    rows = spark.createDataFrame([(1, ["a"], {"k": ["v"]}), (2, None, None)], "n long, x array<string>, m map<string,array<string>>")
+    back = kept(rows)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect())) and back.schema.simpleString() == rows.schema.simpleString()
+    assert kept(rows.limit(0)).count() == 0
